@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe_round_trip
+from .progressive_jpeg import op1_media_jpeg
 from .token_counts import op2_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media_jpeg": op1_media_jpeg,
         "op2_token_counts": op2_token_counts,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
