@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_bpe_round_trip
 from .language_id import op10_language_id
 from .ngram_join import op5_ngram_join
+from .pii import op8_pii
 from .progressive_jpeg import op1_media_jpeg
 from .token_counts import op2_token_counts
 from .toxicity import op6_toxicity
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op5_ngram_join": op5_ngram_join,
         "op6_toxicity": op6_toxicity,
+        "op8_pii": op8_pii,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_language_id": op10_language_id,
     }
