@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_bpe_round_trip
 from .language_id import op10_language_id
 from .ngram_join import op5_ngram_join
+from .order_minhash import op3_order_minhash
 from .pii import op8_pii
 from .progressive_jpeg import op1_media_jpeg
 from .token_counts import op2_token_counts
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_jpeg": op1_media_jpeg,
         "op2_token_counts": op2_token_counts,
+        "op3_order_minhash": op3_order_minhash,
         "op5_ngram_join": op5_ngram_join,
         "op6_toxicity": op6_toxicity,
         "op8_pii": op8_pii,
