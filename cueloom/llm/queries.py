@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, mixing
 from .bpe import op9_bpe_round_trip
 from .language_id import op10_language_id
+from .licenses import op7_license_scan
+from .mixing import op4_temperature_mixing
 from .ngram_join import op5_ngram_join
 from .order_minhash import op3_order_minhash
 from .pii import op8_pii
@@ -21,8 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media_jpeg": op1_media_jpeg,
         "op2_token_counts": op2_token_counts,
         "op3_order_minhash": op3_order_minhash,
+        "op4_temperature_mixing": op4_temperature_mixing,
         "op5_ngram_join": op5_ngram_join,
         "op6_toxicity": op6_toxicity,
+        "op7_license_scan": op7_license_scan,
         "op8_pii": op8_pii,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_language_id": op10_language_id,
@@ -30,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_temperature_mixing": mixing.ORACLE, "op7_license_scan": licenses.ORACLE}
