@@ -271,7 +271,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces each span in the text by its kind in brackets; a null text stays null."""
     known = F.col(text).isNotNull()
     out = _with_spans(df.withColumn("_known", known), f"{text} string", lambda texts, base, every: {text: [redacted(t, s) for t, s in zip(texts, every, strict=True)]}, text)
-    return out.withColumn(text, F.when("_known", F.col(text))).select(*df.columns)
+    return out.withColumn(text, F.when(F.col("_known"), F.col(text))).select(*df.columns)
 
 
 def op8_pii(spark, sf_dir):
