@@ -43,6 +43,8 @@ from .shingles import shingle_sets
 WORDS, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 BLOCK = 1024
+#: Up to so many sets in bundles, where each goes is broadcast (some 24 bytes a set); beyond, it is joined by a shuffle.
+BROADCAST_SETS = 400_000
 #: Bits of the filter that keeps most unneeded sets from being shipped; a set it lets through by chance is dropped later.
 FILTER_BITS = 24
 #: DivideSkip's weight of a binary search against a heap step (a constant of the method).
@@ -406,7 +408,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     about = about.join(nodes.select(F.col("sig").alias("g"), "bits"), "g")
     # bundles: groups that meet in a list and can't be kept apart
     met = lists.select("h", "sig").join(groups.select("sig", "g"), "sig").select("h", "g").distinct()
-    several = met.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    # lists of the same groups tell the same: one of them stays
+    shape = met.groupBy("h").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")).where("k > 1")
+    several = shape.groupBy("k", "x", "y").agg(F.min("h").alias("h")).select("h")
     meetings = met.join(several, "h", "left_semi").join(about, "g").select("h", "g", "low", "high", "radius", "bits")
     ties = meetings.repartition("h").sortWithinPartitions("h").mapInArrow(_may_link, "a long, b long")
     tied = components(ties)
@@ -419,7 +423,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     placed = bundles.select("sig", "bundle", mine.alias("mine"), other.alias("other"))
     placed = placed.select("sig", F.xxhash64("bundle", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
-    shipped = _needed_sets(docs.select("text"), bundles).join(placed, "sig")
+    shipped = _needed_sets(docs.select("text"), bundles)
+    shipped = shipped.join(F.broadcast(placed) if bundles.count() <= BROADCAST_SETS else placed, "sig").select("task", "sig", "shingles")
     links = shipped.repartition("task").sortWithinPartitions("task", "sig").mapInArrow(_search, "a long, b long")
     linked = components(links)
     # classes: the least id of each set, then of each class
