@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names of broadcast tracks, after compatibility normalisation and upper-casing.
 BROADCAST_NAMES = [
@@ -17,7 +18,7 @@ BROADCAST_NAMES = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation, which neither Spark nor SQL has; only needed where a text isn't ASCII."""
     return x.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")

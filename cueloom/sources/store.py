@@ -8,6 +8,7 @@ import plistlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_item(store: DataFrame, key: str) -> Column:
@@ -32,7 +33,7 @@ def clear(store: DataFrame) -> DataFrame:
     return store.limit(0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plist_to_json(x: pd.Series) -> pd.Series:
     """An XML property list as JSON; null if it isn't one. Dates become ISO strings, data base64."""
 
@@ -56,7 +57,7 @@ def plist_to_json(x: pd.Series) -> pd.Series:
     return x.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_to_plist(x: pd.Series) -> pd.Series:
     """JSON as an XML property list."""
     return x.map(lambda s: plistlib.dumps(json.loads(s), sort_keys=False).decode(), na_action="ignore")
