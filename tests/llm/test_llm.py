@@ -341,7 +341,7 @@ def test_toxic_wording_is_found():
 
 
 def test_licenses(spark):
-    rows = [(1, "some words\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "released UNDER the -- mit License"), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "licensed under nothing"), (5, None)]
+    rows = [(1, "some more words that stand before the notice here\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "released UNDER the -- mit License"), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "licensed under nothing"), (5, None)]
     got = {(r.doc_id, r.license): (r.n_units, r.best_score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, "Apache-2.0"): (1, 1.0), (2, "MIT"): (1, 1.0), (3, "GPL-3.0"): (1, 1.0)}
 
