@@ -399,7 +399,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     # groups: a set goes to the least list leader that it may link to, if that leader has no such leader itself
     lead = nodes.select(F.col("sig").alias("lead"), F.col("n").alias("lead_n"), F.col("bits").alias("lead_bits"))
     tried = lists.where("sig <> lead").select("sig", "lead").distinct().join(nodes, "sig").join(lead, "lead")
-    passed = stored(_distance_column(tried.select("sig", "lead", "n", "lead_n", "bits", "lead_bits")).where(f"ham <= (n + lead_n) * {100 - PERCENT} div {100 + PERCENT}"), "passed")
+    passed = stored(_distance_column(tried.select("sig", "lead", "n", "lead_n", "bits", "lead_bits")).where(f"100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n) and ham <= (n + lead_n) * {100 - PERCENT} div {100 + PERCENT}"), "passed")
     own = passed.groupBy("sig").agg(F.min(F.struct("lead", "ham")).alias("m")).select("sig", F.col("m.lead").alias("lead"), F.col("m.ham").alias("ham"))
     roots = own.select(F.col("sig").alias("lead")).distinct()
     followers = own.join(roots, "lead", "left_anti")
