@@ -24,11 +24,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id in each class of near duplicates, one row of it if an id repeats. Rows without an id
-    can't be named by a class and stay."""
-    kept = ngram_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    can't be named by a class and stay.
+
+    Only ids that go or repeat are joined to the documents. Up to a fixed number they are broadcast, so no text is
+    shuffled; beyond it, the join shuffles."""
+    found = stored(ngram_join.near_duplicates(docs), "classes").where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("kept"))
+    ids = stored(ids.where("not kept or rows > 1").select("doc_id", "kept"), "ids")
+    near = F.broadcast if ids.count() <= ngram_join.BROADCAST_SETS else lambda x: x
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    found = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select("*", rank.alias("_rank")).where("_rank = 1").drop("_rank")
-    return found.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    once = docs.join(near(ids.where("kept")), "doc_id", "left_semi").select("*", rank.alias("_rank")).where("_rank = 1").drop("_rank")
+    return docs.join(near(ids), "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
