@@ -15,8 +15,9 @@ different sets is found; equal sets are one node from the start. The steps:
    links to a member of the other. Components of the rest are bundles: all links lie inside them.
 5. *Search.* Only bundles' shingle sets are shipped, in blocks of at most ``BLOCK`` sets; a large bundle is searched block
    by block pair. DivideSkip: the query's longest inverted lists are set aside, the short ones merged with a heap to those
-   that occur often enough, and these looked up in the long lists by binary search. Sets already known to be connected to
-   the largest class of the block aren't queried, as their remaining links would end in one that is.
+   that occur often enough, and these looked up in the long lists by binary search. A first pass leaves out sets already
+   known to be connected to the class that is largest then; a second one queries all of these but the members of one
+   class, as a link between two sets that were never queried can only lie inside that class.
 6. *Classes.* Components of the links found, with the least ``doc_id``.
 
 Shingles and sets are known by 64-bit hashes: a chance collision of two shingles counts only if both are in a compared
@@ -313,18 +314,25 @@ def classes(sets: list[np.ndarray], block: np.ndarray | None = None) -> list[int
             parent[i] = i = parent[parent[i]]
         return i
 
-    largest = 0
-    for q in range(len(sets)):
-        if q and find(q) == find(largest):
-            continue
+    def query(q: int) -> None:
         for r in index.linked(q).tolist():
             a, b = find(q), find(r)
             if a != b:
                 a, b = min(a, b), max(a, b)
                 parent[b] = a
                 members[a] += members[b]
+
+    largest, left = 0, []
+    for q in range(len(sets)):
+        if q and find(q) == find(largest):
+            left.append(q)
+            continue
+        query(q)
         if members[find(q)] > members[find(largest)]:
             largest = q
+    for q in left:  # the class left out is the same one from here on
+        if find(q) != find(largest):
+            query(q)
     return [find(i) for i in range(len(sets))]
 
 

@@ -280,6 +280,29 @@ def test_divide_skip_finds_all_links():
         assert set(index.linked(q).tolist()) == want
 
 
+def plain_first(sets):
+    plain, root = [set(s.tolist()) for s in sets], list(range(len(sets)))
+    for i, a in enumerate(plain):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(a & plain[j]) >= 80 * len(a | plain[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+def test_classes_of_drifting_chains():
+    r = np.random.default_rng(1)
+    for _ in range(150):
+        sets = []
+        for _ in range(int(r.integers(1, 4))):
+            s = r.integers(0, 1 << 63, 60).astype(np.uint64)
+            for _ in range(int(r.integers(2, 9))):
+                sets.append(np.unique(s))
+                s = np.concatenate([s[5:], r.integers(0, 1 << 63, 5).astype(np.uint64)])
+        sets = [sets[i] for i in r.permutation(len(sets))]
+        assert ngram_join.classes(sets) == plain_first(sets)
+
+
 def test_bitmaps_bound_differences():
     r = np.random.default_rng(0)
     for _ in range(200):
