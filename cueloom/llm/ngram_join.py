@@ -12,7 +12,8 @@ different sets is found; equal sets are one node from the start. The steps:
    at most the size of the sets' symmetric difference, which linked sets bound by a ninth of their sizes' sum. Who passes
    joins the first set's group, so that many near copies are one group and their lists hold one entry.
 4. *Bundles.* Two groups in a list are kept apart only if their bitmaps, less both radii, prove that no member of one
-   links to a member of the other. Components of the rest are bundles: all links lie inside them.
+   links to a member of the other. For that they are folded to the length of either group's smallest set, at which both
+   radii hold. Components of the rest are bundles: all links lie inside them.
 5. *Search.* Only bundles' shingle sets are shipped, in blocks of at most ``BLOCK`` sets; a large bundle is searched block
    by block pair. DivideSkip: the query's longest inverted lists are set aside, the short ones merged with a heap to those
    that occur often enough, and these looked up in the long lists by binary search. A first pass leaves out sets already
@@ -65,9 +66,13 @@ def name_of(s: np.ndarray) -> int:
     return struct.unpack("<q", struct.pack("<Q", x & (1 << 64) - 1))[0]
 
 
+def bitmap_bits(n: int) -> int:
+    return max(64, 1 << max(0, 2 * n - 1).bit_length())
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Parity of the shingles at each of 64 or more bits, a power of two of at least twice the set's size."""
-    bits = max(64, 1 << max(0, 2 * len(s) - 1).bit_length())
+    bits = bitmap_bits(len(s))
     at = (s >> np.uint64(11)).astype(np.int64) & (bits - 1)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -78,9 +83,10 @@ def _fold(b: np.ndarray, size: int) -> np.ndarray:
     return b
 
 
-def hamming(a: bytes, b: bytes) -> int:
+def hamming(a: bytes, b: bytes, most: int | None = None) -> int:
+    """Hamming distance at the shorter length, or at ``most`` bits if that is less."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
+    size = min(len(x), len(y), most // 8 if most else len(x))
     return int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
 
 
@@ -223,10 +229,11 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for i, (_, g, low, high, radius, bits) in enumerate(rows):
             for j in range(i):
-                _, g2, _, high2, radius2, bits2 = rows[j]
+                _, g2, low2, high2, radius2, bits2 = rows[j]
                 if high2 * 100 < low * PERCENT or find(i) == find(j):
                     continue
-                if hamming(bits, bits2) <= radius + radius2 + (high + high2) * (100 - PERCENT) // (100 + PERCENT):
+                # a radius was taken at its member's length or its leader's: it holds at no more bits than the smallest set's
+                if hamming(bits, bits2, bitmap_bits(min(low, low2))) <= radius + radius2 + (high + high2) * (100 - PERCENT) // (100 + PERCENT):
                     parent[find(i)] = find(j)
                     out.append((g, g2))
         return out

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,6 +312,18 @@ def test_bitmaps_bound_differences():
         assert ngram_join.hamming(ngram_join.bitmap(a), ngram_join.bitmap(b)) <= len(np.setxor1d(a, b))
 
 
+def test_groups_that_straddle_a_power_of_two_meet():
+    r = np.random.default_rng(2)
+    new = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    for _ in range(300):
+        a = new(116)  # 256 bits; both leaders have 512
+        lead, b = np.concatenate([a, new(13)]), np.concatenate([a[:109], new(20)])
+        assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) and 100 * len(np.intersect1d(lead, b)) < 80 * len(np.union1d(lead, b))
+        groups = [(1, 10, 116, 129, ngram_join.hamming(ngram_join.bitmap(a), ngram_join.bitmap(lead)), ngram_join.bitmap(lead)), (1, 20, 129, 129, 0, ngram_join.bitmap(b))]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*groups, strict=True)], names=["h", "g", "low", "high", "radius", "bits"])
+        assert sum(x.num_rows for x in ngram_join._may_link(iter([batch]))) == 1
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
