@@ -49,17 +49,16 @@ class Tagger:
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best tags of each sequence, by the Viterbi algorithm."""
         e = self.emissions(x)[0]
-        steps, n, tags = e.shape
-        best, back = e[0], np.empty((steps, n, tags), dtype=np.int8)
+        steps, n, _ = e.shape
+        best = np.empty_like(e)  # the scores of all steps stay, and which tag a score came from is found on the way back
+        best[0] = e[0]
         for t in range(1, steps):
-            m = best[:, :, None] + self.p["A"]
-            back[t] = m.argmax(axis=1)
-            best = m.max(axis=1) + e[t]
+            np.add((best[t - 1].T[:, :, None] + self.p["A"][:, None, :]).max(axis=0), e[t], out=best[t])
         out = np.empty((n, steps), dtype=np.int8)
-        out[:, -1] = best.argmax(axis=1)
-        rows = np.arange(n)
+        out[:, -1] = best[-1].argmax(axis=1)
+        into = self.p["A"].T
         for t in range(steps - 1, 0, -1):
-            out[:, t - 1] = back[t][rows, out[:, t]]
+            out[:, t - 1] = (best[t - 1] + into[out[:, t]]).argmax(axis=1)
         return out
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:

@@ -3,10 +3,10 @@
 Base spans come from fixed rules for e-mail and IP addresses, card and phone numbers; failing matches are dropped without
 another try. A character-level BiLSTM-CRF adds spans in forms that the rules don't cover, such as phone numbers without a
 country code, spelled-out addresses and cards grouped with dots. It is trained in numpy on generated snippets whose spans
-are known, with a fixed seed, once in a driver process. A text is tagged in overlapping windows wherever it has a digit or
-an ``@`` (all forms that the model learns have one); where windows overlap, the tags of the one in which a character is
-most central stand, and the spans are then read off the text's whole tag sequence. A span of the model is kept if it
-touches no base span, has enough digits for its kind, and starts and ends between words.
+are known, with a fixed seed, once in a driver process. The whole text is tagged in overlapping windows; where windows
+overlap, the tags of the one in which a character is most central stand, and the spans are then read off the text's whole
+tag sequence. A span of the model is kept if it
+touches no base span, has the form or enough digits of its kind, and starts and ends between words.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Overlapping base spans of different kinds all
 stay. ``redact`` replaces spans, overlapping ones together under the first one's kind.
@@ -26,7 +26,7 @@ from .char_crf import Tagger
 from .common import documents, per_text
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, MARGIN, BATCH = 96, 64, 40, 512
+WINDOW, STRIDE, BATCH = 96, 64, 512
 TRAIN_ROWS, TRAIN_STEPS, TRAIN_LENGTH = 1500, 260, 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,7 +35,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@+]")
-_TRIGGER = re.compile(r"[0-9@]")
+_ADDRESS = re.compile(r"[^\s@()\[\]]+(?:@|\s?\(at\)\s?|\s?\[at\]\s?)[^\W_][\w-]*(?:\.[\w-]+)+", re.IGNORECASE)
 _DIGITS = re.compile(r"[^0-9]")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -108,9 +108,10 @@ def _snippets(rows: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray
     word = lambda: (lambda w: w.capitalize() if r.random() < 0.15 else w)("".join(pick(letters) for _ in range(int(r.integers(1, 11)))))
 
     def email() -> str:
-        name = pick([word().lower(), f"{word().lower()}.{digits(2)}", f"{word().lower()}_{word().lower()}"])
-        host = pick([f"{word().lower()}.com", f"mail{digits(1)}.{word().lower()}.org"])
-        return pick([f"{name}@{host}", f"{name}@{host}", f"{name}{digits(2)} (at) {host}", f"{name}{digits(2)}[at]{host}"])
+        name = pick([word().lower(), f"{word().lower()}.{digits(2)}", f"{word().lower()}_{word().lower()}", f"{word().lower()}.{word().lower()}"])
+        host = pick([f"{word().lower()}.com", f"{word().lower()}.org", f"mail{digits(1)}.{word().lower()}.org"])
+        tail = pick(["", digits(2)])
+        return pick([f"{name}@{host}", f"{name}@{host}", f"{name}{tail} (at) {host}", f"{name}{tail}[at]{host}"])
 
     def ip() -> str:
         return ".".join(str(int(r.integers(0, 256))) for _ in range(4))
@@ -161,44 +162,39 @@ def trained(seed: int = 11) -> Tagger:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of windows that cover every digit and ``@`` with a margin on both sides."""
-    out: list[int] = []
-    for m in _TRIGGER.finditer(text):
-        at = m.start()
-        if out and at + MARGIN <= out[-1] + WINDOW:
-            continue
-        start = max(0, at - MARGIN)
-        out.append(max(start, out[-1] + STRIDE) if out and start < out[-1] + STRIDE <= at - (WINDOW - STRIDE) // 2 else start)
-    return out
+    """Starts of overlapping windows that cover the text."""
+    return list(range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE))
 
 
 def model_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
     """The tagger's spans of each text, after its windows are reconciled."""
     places = [(i, s) for i, t in enumerate(texts) for s in (window_starts(t) if t else ())]
-    tags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    offset = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
+    tags: dict[int, list[np.ndarray]] = {}
+    tagged: set[int] = set()
+    offset = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).tolist()
     for a in range(0, len(places), BATCH):
         block = places[a : a + BATCH]
         x = np.zeros((len(block), WINDOW), dtype=np.int64)
         for k, (i, s) in enumerate(block):
             c = char_classes(texts[i][s : s + WINDOW])
             x[k, : len(c)] = c
-        for (i, s), row in zip(block, model.decode(x), strict=True):
-            tags.setdefault(i, []).append((s, row))  # type: ignore[union-attr]
+        rows = model.decode(x)
+        for (i, _), row, some in zip(block, rows, rows.any(axis=1).tolist(), strict=True):
+            tags.setdefault(i, []).append(row)
+            if some:
+                tagged.add(i)
     out: list[list[Span]] = [[] for _ in texts]
-    for i, windows in tags.items():
-        chars: dict[int, tuple[int, int]] = {}
-        n = len(texts[i])
-        for s, row in windows:
-            for j in np.flatnonzero(row).tolist():
-                chars.setdefault(s + j, (-1, 0))
-        for s, row in windows:
-            for p in range(s, min(n, s + WINDOW)):
-                if p in chars and offset[p - s] > chars[p][0]:
-                    chars[p] = int(offset[p - s]), int(row[p - s])
+    for i in tagged:
+        windows, n = tags[i], len(texts[i])
+        chars: dict[int, int] = {}
+        for p in {k * STRIDE + j for k, row in enumerate(windows) for j in np.flatnonzero(row).tolist()}:
+            over = range(max(0, (p - WINDOW) // STRIDE + 1), min(len(windows), p // STRIDE + 1))
+            if p < n:
+                k = max(over, key=lambda k: offset[p - k * STRIDE])
+                chars[p] = int(windows[k][p - k * STRIDE])
         spans: list[Span] = []
         for p in sorted(chars):
-            tag = chars[p][1]
+            tag = chars[p]
             if not tag:
                 continue
             k = (tag - 1) // 2
@@ -206,10 +202,17 @@ def model_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
                 spans[-1] = k, spans[-1][1], p + 1
             elif tag % 2:
                 spans.append((k, p, p + 1))
-        out[i] = [s for s in spans if _plausible(texts[i], s)]
+        out[i] = [s for s in (_trimmed(texts[i], s) for s in spans) if _plausible(texts[i], s)]
     return out
 
 
+def _trimmed(text: str, span: Span) -> Span:
+    """An address without what the model took along around it."""
+    k, start, end = span
+    m = _ADDRESS.search(text, start, end) if k == 0 else None
+    return (k, *m.span()) if m else span
+
+
 def _plausible(text: str, span: Span) -> bool:
     k, start, end = span
     body = text[start:end]
@@ -218,7 +221,7 @@ def _plausible(text: str, span: Span) -> bool:
     n = len(_DIGITS.sub("", body))
     letters = any(c.isalpha() for c in body)
     if k == 0:
-        return ("@" in body or "at" in body) and "." in body and letters
+        return bool(_ADDRESS.fullmatch(body)) and letters
     if letters:
         return False
     return body.count(".") == 3 and n >= 4 if k == 1 else 13 <= n <= 19 and luhn(_DIGITS.sub("", body)) if k == 2 else 9 <= n <= 15

@@ -418,6 +418,14 @@ def test_windows_cover_all_digits():
         assert all(any(s <= m.start() < s + pii.WINDOW for s in starts) for m in re.finditer("[0-9@]", t))
 
 
+def test_spelled_out_addresses_without_digits():
+    for address in ("jane.smith (at) example.com", "jane[at]example.org"):
+        text = "plain words stand here " * 9 + f"so write to {address} about it " + "and more words follow " * 9
+        assert [text[a:b] for _, a, b in pii.find_spans([text], pii.trained())[1][0]] == [address]
+    t = "no digit here " * 40
+    assert {p for s in pii.window_starts(t) for p in range(s, s + pii.WINDOW)} >= set(range(len(t)))
+
+
 def test_training_learns():
     x, y = pii._snippets(100, pii.WINDOW, 99)
     p = pii.trained().decode(x)
