@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects: null texts and texts without a letter."""
     model = language_id.learn(docs.where(~language_id.held_out()))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return language_id.identify(packed, model).where("lang_pred <> 'und'").select("_row.*")
+    return language_id.identify(packed, model, letter="_letter").where("_letter").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

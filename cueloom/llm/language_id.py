@@ -152,8 +152,9 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text",
     return Hierarchy(np.frombuffer(b"".join(r[2] for r in got), dtype=np.float32).reshape(len(got), -1), [r[1] for r in got])
 
 
-def identify(df: DataFrame, model: Hierarchy | None, text: str = "text") -> DataFrame:
-    """Appends ``lang_pred`` and ``score``."""
+def identify(df: DataFrame, model: Hierarchy | None, text: str = "text", letter: str | None = None) -> DataFrame:
+    """Appends ``lang_pred`` and ``score``, and if ``letter`` names a column, whether the text has a letter: ``und`` is also
+    what texts get without a model, and can be a language's label."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list) -> dict:
@@ -163,9 +164,10 @@ def identify(df: DataFrame, model: Hierarchy | None, text: str = "text") -> Data
             got = shared.value.predict(features([texts[i].encode() for i in rows]))
             for i, a, s in zip(rows, *got, strict=True):
                 langs[i], scores[i] = a, s
-        return {"lang_pred": langs, "score": scores}
+        found = set(rows)
+        return {"lang_pred": langs, "score": scores} | ({letter: [i in found for i in range(len(texts))]} if letter else {})
 
-    return per_text(df, lambda: run, "lang_pred string, score double", text, raw=False)
+    return per_text(df, lambda: run, "lang_pred string, score double" + (f", {letter} boolean" if letter else ""), text, raw=False)
 
 
 def held_out(doc_id: str = "doc_id"):

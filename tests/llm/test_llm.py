@@ -455,6 +455,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "mixture", "encoding"]
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_without_languages_keeps_texts_with_letters(spark, tmp_path, lang):
+    rows = [(i, t, lang, "s", 1) for i, t in enumerate([ENGLISH, "12 !", None, "", "ein Satz", "é"])]
+    sf = table(tmp_path, spark.createDataFrame(rows, DOCS))
+    kept = corpus_pipeline.language(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5]
+
+
 def test_contract_columns(spark):
     r = jpeg.op1_media_jpeg(spark, SF).first()
     text = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") == r.doc_id).first().text.encode()
