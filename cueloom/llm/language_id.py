@@ -134,18 +134,14 @@ def has_letter(text: str) -> bool:
 
 
 def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Hierarchy | None:
-    """A model from the rows that have a language and an id. One pass counts languages, one computes the features of the
+    """A model from the rows that have a language and an id. One pass counts all languages, one computes the features of the
     drawn rows on the executors; the driver gets at most about ``per_language`` feature rows a language."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, lang, text)
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(200).collect()}
-    if not counts:
-        return None
     whole = 1 << 30
-    keep = F.lit(False)
     place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(whole))
-    for k, n in sorted(counts.items()):
-        keep = keep | ((F.col(lang) == k) & (place < min(whole, whole * per_language // n)))
-    drawn = per_text(rows.where(keep), lambda: lambda texts: {"x": [r.tobytes() for r in features(texts)], "ok": [has_letter(t.decode("utf-8", "replace")) for t in texts]}, "x binary, ok boolean", text, drop_text=True)
+    counts = rows.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    drawn = rows.join(F.broadcast(counts), F.col(lang) == F.col("_lang")).where(place < F.expr(f"{whole * per_language}L div _n")).select(doc_id, lang, text)
+    drawn = per_text(drawn, lambda: lambda texts: {"x": [r.tobytes() for r in features(texts)], "ok": [has_letter(t.decode("utf-8", "replace")) for t in texts]}, "x binary, ok boolean", text, drop_text=True)
     got = sorted((r[0], r[1], bytes(r[2])) for r in drawn.where("ok").select(doc_id, lang, "x").collect())
     if not got:
         return None

@@ -356,6 +356,12 @@ def test_texts_without_letters_are_und(spark):
     assert [r.lang_pred for r in language_id.identify(df, model).collect()] == ["und", "und", "und", "en", "de"]
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "Hierarchy", lambda x, langs: (len(x), set(langs)))
+    df = spark.createDataFrame([(i, f"some words {i}", f"l{i % 230}") for i in range(460)], "doc_id long, text string, lang string")
+    assert language_id.learn(df) == (460, {f"l{i}" for i in range(230)})
+
+
 def test_toxic_wording_is_found():
     r = random.Random(4)
     words = ["".join(r.choice("aeinorstl") for _ in range(r.randint(2, 8))) for _ in range(900)]
