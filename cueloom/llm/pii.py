@@ -3,10 +3,9 @@
 Base spans come from fixed rules for e-mail and IP addresses, card and phone numbers; failing matches are dropped without
 another try. A character-level BiLSTM-CRF adds spans in forms that the rules don't cover, such as phone numbers without a
 country code, spelled-out addresses and cards grouped with dots. It is trained in numpy on generated snippets whose spans
-are known, with a fixed seed, once in a driver process. The whole text is tagged in overlapping windows; where windows
-overlap, the tags of the one in which a character is most central stand, and the spans are then read off the text's whole
-tag sequence. A span of the model is kept if it
-touches no base span, has the form or enough digits of its kind, and starts and ends between words.
+are known, with a fixed seed, once in a driver process. The whole text is tagged in overlapping windows, whatever is in
+it. Each window's spans are candidates; of all candidates of a text those that overlap neither each other nor a base span
+and weigh most together are kept, if they have the form or enough digits of their kind and start and end between words.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Overlapping base spans of different kinds all
 stay. ``redact`` replaces spans, overlapping ones together under the first one's kind.
@@ -16,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ from .char_crf import Tagger
 from .common import documents, per_text
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, BATCH = 96, 64, 512
-TRAIN_ROWS, TRAIN_STEPS, TRAIN_LENGTH = 1500, 260, 64
+WINDOW, STRIDE, BATCH = 320, 256, 512
+TRAIN_ROWS, TRAIN_STEPS, TRAIN_LENGTH = 2500, 600, 72
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@+]")
-_ADDRESS = re.compile(r"[^\s@()\[\]]+(?:@|\s?\(at\)\s?|\s?\[at\]\s?)[^\W_][\w-]*(?:\.[\w-]+)+", re.IGNORECASE)
+_ADDRESS = re.compile(r"[^\s@()\[\]]+(?:(?:@|\s?\(at\)\s?|\s?\[at\]\s?)[^\W_][\w-]*(?:\.[\w-]+)+|\sat\s[^\W_][\w-]*(?:\.[\w-]+)*(?:\sdot\s[a-z]{2,6})+)", re.IGNORECASE)
 _DIGITS = re.compile(r"[^0-9]")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -100,52 +101,60 @@ def char_classes(text: str) -> np.ndarray:
 
 
 def _snippets(rows: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Generated snippets as classes, and their tags: 0 outside, 1 + 2k first and 2 + 2k further characters of kind k."""
+    """Generated snippets as classes, and their tags: 0 outside, 1 + 2k first and 2 + 2k further characters of kind k. Some
+    are cut out of longer text, some begin it and some end it. A column stands before a snippet, with the character before it,
+    or filling where a text begins, and one of filling after it."""
     r = np.random.default_rng(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
     pick = lambda s: s[int(r.integers(len(s)))]
-    digits = lambda n: "".join(pick("0123456789") for _ in range(n))
-    word = lambda: (lambda w: w.capitalize() if r.random() < 0.15 else w)("".join(pick(letters) for _ in range(int(r.integers(1, 11)))))
+    digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    word = lambda: (lambda w: w.capitalize() if r.random() < 0.15 else w)("".join(letters[i] for i in r.integers(0, 26, int(r.integers(1, 11)))))
 
     def email() -> str:
-        name = pick([word().lower(), f"{word().lower()}.{digits(2)}", f"{word().lower()}_{word().lower()}", f"{word().lower()}.{word().lower()}"])
-        host = pick([f"{word().lower()}.com", f"{word().lower()}.org", f"mail{digits(1)}.{word().lower()}.org"])
-        tail = pick(["", digits(2)])
-        return pick([f"{name}@{host}", f"{name}@{host}", f"{name}{tail} (at) {host}", f"{name}{tail}[at]{host}"])
+        name = pick([word().lower(), f"{word().lower()}.{digits(2)}", f"{word().lower()}{digits(2)}", f"{word().lower()}_{word().lower()}", f"{word().lower()}.{word().lower()}"])
+        host, top = pick([word().lower(), word().lower(), f"mail{digits(1)}.{word().lower()}"]), pick(["com", "org", "net", "de"])
+        at = pick(["@", " (at) ", "(at)", "[at]", " [at] ", " at ", " at ", " at "])
+        return f"{name} at {host} dot {top}" if at == " at " else f"{name}{at}{host}.{top}"
 
     def ip() -> str:
         return ".".join(str(int(r.integers(0, 256))) for _ in range(4))
 
     def card() -> str:
-        sep = pick(["", "", " ", "-", "."])
-        return sep.join(digits(4) for _ in range(4))
+        return pick(["", " ", "-", ".", "."]).join(digits(4) for _ in range(4))
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"])
 
     def other() -> str:
         hexes = "".join(pick("0123456789abcdef") for _ in range(int(r.integers(8, 40))))
-        return pick([f'token = "{hexes}"', f"password={hexes[:18]}", "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), digits(int(r.integers(1, 9))), f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"({digits(4)})", f"CC-{digits(1)}.{digits(1)}", f"{digits(3)},{digits(3)}"])
+        return pick([f'token = "{hexes}"', f"password={hexes[:18]}", "AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), digits(int(r.integers(1, 9))), f"{digits(1)}.{digits(1)}", f"version {digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"({digits(4)})", f"CC-{digits(1)}.{digits(1)}", f"{digits(3)},{digits(3)}", f"{word()} at {word()}"])
 
     kinds = (email, ip, card, phone)
-    x, y = np.zeros((rows, length), dtype=np.int64), np.zeros((rows, length), dtype=np.int64)
+    x, y = np.zeros((rows, length + 2), dtype=np.int64), np.zeros((rows, length + 2), dtype=np.int64)
     for i in range(rows):
-        text, tags = "", []
-        while len(text) < length + 30:
+        text, tags, over, ends = "", [], 0, r.random() < 0.4
+        most = int(r.integers(length // 2, length)) if ends else length + 30
+        while len(text) < most:
             u = r.random()
-            k = int(r.integers(4)) if u < 0.13 else -1
+            k = pick((0, 0, 0, 1, 2, 3, 3, 3)) if u < 0.16 else -1
             piece = kinds[k]() if k >= 0 else other() if u < 0.25 else word()
-            text += piece
-            tags += [0] * len(piece) if k < 0 else [1 + 2 * k] + [2 + 2 * k] * (len(piece) - 1)
             gap = pick([" ", " ", " ", " ", ", ", ". ", "\n"])
-            text += gap
-            tags += [0] * len(gap)
-        at = int(r.integers(0, 30))
-        x[i], y[i] = char_classes(text[at : at + length]), tags[at : at + length]
-        if y[i, 0] and y[i, 0] % 2 == 0:  # the window cut a span: its rest isn't one
-            n = int(np.argmax(np.append(y[i] != y[i, 0], True)))
-            y[i, :n] = 0
+            if len(text) + len(piece) >= most and ends:  # the last of a text is as often personal data as not
+                if r.random() < 0.5:
+                    k = pick((0, 0, 0, 1, 2, 3, 3, 3))
+                    piece = kinds[k]()
+                gap = pick(["", "", ".", "\n"])
+                over, most = max(0, len(text) + len(piece) + len(gap) - length), 0
+            text += piece + gap
+            tags += ([0] * len(piece) if k < 0 else [1 + 2 * k] + [2 + 2 * k] * (len(piece) - 1)) + [0] * len(gap)
+        at = over if ends else int(r.integers(1, 30)) if r.random() < 0.6 else 0
+        text, tags = (text[at - 1 : at + length], tags[at - 1 : at + length]) if at else (" " + text[:length], [0, *tags[:length]])
+        x[i, : len(text)], y[i, : len(text)] = char_classes(text), tags
+        if not at:
+            x[i, 0] = 0
+        elif tags[0]:  # a span that the window's start cut begins there
+            y[i, 0] = tags[0] - 1 + tags[0] % 2
     return x, y
 
 
@@ -166,43 +175,65 @@ def window_starts(text: str) -> list[int]:
     return list(range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE))
 
 
-def model_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
-    """The tagger's spans of each text, after its windows are reconciled."""
+def _window_spans(row: np.ndarray, start: int, n: int) -> list[Span]:
+    """Spans of one window's tags, but for those that the window's ends may have cut; the text has ``n`` characters."""
+    spans: list[Span] = []
+    for j in np.flatnonzero(row).tolist():
+        k, more = divmod(int(row[j]) - 1, 2)
+        if not more:
+            spans.append((k, start + j, start + j + 1))
+        elif spans and spans[-1][0] == k and spans[-1][2] == start + j:
+            spans[-1] = k, spans[-1][1], start + j + 1
+    return [s for s in spans if (s[1] > start or not start) and (s[2] < start + WINDOW or s[2] == n) and s[2] <= n]
+
+
+def reconciled(spans: dict[Span, float]) -> list[Span]:
+    """Of spans with weights, those without overlap that weigh most together."""
+    order = sorted(spans, key=lambda s: (s[2], s[1], s[0]))
+    ends, best, chosen = [s[2] for s in order], [0.0], []
+    for s in order:
+        before = bisect_right(ends, s[1])
+        weight = best[before] + spans[s]
+        chosen.append((weight > best[-1], before))
+        best.append(max(best[-1], weight))
+    out, i = [], len(order)
+    while i:
+        taken, before = chosen[i - 1]
+        if taken:
+            out.append(order[i - 1])
+        i = before if taken else i - 1
+    return out[::-1]
+
+
+def model_spans(texts: list[str], model: Tagger, base: list[list[Span]]) -> list[list[Span]]:
+    """The tagger's spans of each text. All windows of the whole texts are decoded; a span weighs one for each window that
+    gives it, and more the further it is from that window's ends, and the spans that weigh most together stand. Base spans
+    stand before all others."""
     places = [(i, s) for i, t in enumerate(texts) for s in (window_starts(t) if t else ())]
-    tags: dict[int, list[np.ndarray]] = {}
-    tagged: set[int] = set()
-    offset = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).tolist()
+    places.sort(key=lambda p: min(len(texts[p[0]]) - p[1], WINDOW))  # windows of a block are of like length
+    classes = [char_classes(t) for t in texts]
+    found: dict[int, dict[Span, float]] = {}
     for a in range(0, len(places), BATCH):
         block = places[a : a + BATCH]
-        x = np.zeros((len(block), WINDOW), dtype=np.int64)
+        i, s = block[-1]
+        x = np.zeros((len(block), min(len(texts[i]) - s, WINDOW) + 2), dtype=np.int64)
         for k, (i, s) in enumerate(block):
-            c = char_classes(texts[i][s : s + WINDOW])
-            x[k, : len(c)] = c
-        rows = model.decode(x)
-        for (i, _), row, some in zip(block, rows, rows.any(axis=1).tolist(), strict=True):
-            tags.setdefault(i, []).append(row)
-            if some:
-                tagged.add(i)
+            c = classes[i][max(s - 1, 0) : s + WINDOW]
+            x[k, not s : len(c) + (not s)] = c
+        tags = model.decode(x)[:, 1:]
+        for k in np.flatnonzero(tags.any(axis=1)).tolist():
+            i, s = block[k]
+            mine = found.setdefault(i, {})
+            for span in _window_spans(tags[k], s, len(texts[i])):
+                weight = 1 + min(span[1] - s, s + WINDOW - span[2], WINDOW - STRIDE) / WINDOW
+                span = _trimmed(texts[i], span)
+                if _plausible(texts[i], span):
+                    mine[span] = mine.get(span, 0.0) + weight
     out: list[list[Span]] = [[] for _ in texts]
-    for i in tagged:
-        windows, n = tags[i], len(texts[i])
-        chars: dict[int, int] = {}
-        for p in {k * STRIDE + j for k, row in enumerate(windows) for j in np.flatnonzero(row).tolist()}:
-            over = range(max(0, (p - WINDOW) // STRIDE + 1), min(len(windows), p // STRIDE + 1))
-            if p < n:
-                k = max(over, key=lambda k: offset[p - k * STRIDE])
-                chars[p] = int(windows[k][p - k * STRIDE])
-        spans: list[Span] = []
-        for p in sorted(chars):
-            tag = chars[p]
-            if not tag:
-                continue
-            k = (tag - 1) // 2
-            if tag % 2 == 0 and spans and spans[-1][0] == k and spans[-1][2] == p:
-                spans[-1] = k, spans[-1][1], p + 1
-            elif tag % 2:
-                spans.append((k, p, p + 1))
-        out[i] = [s for s in (_trimmed(texts[i], s) for s in spans) if _plausible(texts[i], s)]
+    for i, mine in found.items():
+        own = sorted((b[1], b[2]) for b in base[i])
+        starts, upto = [b[0] for b in own], list(accumulate((b[1] for b in own), max, initial=0))
+        out[i] = reconciled({s: w for s, w in mine.items() if upto[bisect_left(starts, s[2])] <= s[1]})
     return out
 
 
@@ -231,9 +262,8 @@ def find_spans(texts: list[str], model: Tagger) -> tuple[list[list[Span]], list[
     """Base spans, and base spans with the model's, of each text, by kind and start."""
     base = [base_spans(t) for t in texts]
     every = []
-    for own, more in zip(base, model_spans(texts, model), strict=True):
-        free = [s for s in more if all(s[2] <= b[1] or b[2] <= s[1] for b in own)]
-        every.append(sorted(own + free))
+    for own, more in zip(base, model_spans(texts, model, base), strict=True):
+        every.append(sorted(own + more))
     return base, every
 
 
@@ -254,8 +284,7 @@ def _with_spans(df: DataFrame, outputs: str, made: Callable[[list[str], list, li
     shared = df.sparkSession.sparkContext.broadcast(trained())
 
     def run(texts: list) -> dict:
-        texts = [t or "" for t in texts]
-        return made(texts, *find_spans(texts, shared.value))
+        return made(texts, *find_spans([t or "" for t in texts], shared.value))
 
     return per_text(df, lambda: run, outputs, text, raw=False)
 
@@ -272,9 +301,8 @@ def personal_data(df: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces each span in the text by its kind in brackets; a null text stays null."""
-    known = F.col(text).isNotNull()
-    out = _with_spans(df.withColumn("_known", known), f"{text} string", lambda texts, base, every: {text: [redacted(t, s) for t, s in zip(texts, every, strict=True)]}, text)
-    return out.withColumn(text, F.when(F.col("_known"), F.col(text))).select(*df.columns)
+    out = _with_spans(df, f"{text} string", lambda texts, base, every: {text: [None if t is None else redacted(t, s) for t, s in zip(texts, every, strict=True)]}, text)
+    return out.select(*df.columns)
 
 
 def op8_pii(spark, sf_dir):
