@@ -27,7 +27,7 @@ from .token_counts import safe_pieces, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a Python worker remembers before it starts anew, and their greatest length.
-MEMORY_PIECES, MEMORY_CHARS = 800_000, 64
+MEMORY_PIECES, MEMORY_CHARS = 200_000, 64
 #: Symbols in a lockstep block, and the number of words from which lockstep pays.
 BLOCK_SYMBOLS, LOCKSTEP_WORDS = 1 << 20, 24
 
@@ -70,16 +70,16 @@ class Bpe:
         self.none = len(pairs)
         self.words = regex.compile(PATTERN)
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], self.none)
 
-    def merge_many(self, words: list[bytes], size: int) -> list[tuple[int, ...]]:
-        """Merges words of at most ``size`` bytes in lockstep; ``size`` is a power of two."""
+    def merge_many(self, words: list[bytes], size: int) -> list[bytes]:
+        """Merges words of at most ``size`` bytes in lockstep; ``size`` is a power of two. Ids come as four bytes each."""
         n, none = len(words), self.none * size
         lengths = np.array([len(w) for w in words])
         inside = np.arange(size) < lengths[:, None]
@@ -135,11 +135,11 @@ class Bpe:
             at = after[rows, at]
             more = at < lengths[rows]
             rows, at = rows[more], at[more]
-        flat = sym[alive].tolist()
-        ends = np.cumsum(alive.sum(axis=1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        flat = sym[alive].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def merge_one(self, word: bytes) -> tuple[int, ...]:
+    def merge_one(self, word: bytes) -> bytes:
         """The same tree for one word."""
         n = len(word)
         size = 1 << max(1, (n - 1).bit_length())
@@ -186,10 +186,10 @@ class Bpe:
         while i < n:
             out.append(sym[i])
             i = after[i]
-        return tuple(out)
+        return np.array(out, dtype="<i4").tobytes()
 
-    def merge(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        out: dict[str, tuple[int, ...]] = {}
+    def merge(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
             b = w.encode()
@@ -217,11 +217,12 @@ class Bpe:
                 new[x] = [w for i, y in enumerate(self.split_special.split(x)) for w in ([y] if i % 2 else self.words.findall(y))]
             else:
                 new[x] = self.words.findall(x)
-        known.update((s, (i,)) for s, i in self.special.items())
-        known.update(self.merge(list(set().union(*new.values()).difference(known))))
+        known.update((s, i.to_bytes(4, "little")) for s, i in self.special.items())
+        made = self.merge([w for w in set().union(*new.values()).difference(known) if w not in pieces])
         for x, words in new.items():
-            pieces[x] = known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words)))
-        out = [list(chain.from_iterable(map(pieces.__getitem__, x))) for x in cut]
+            pieces[x] = made.get(x) or known.get(x) or b"".join(made.get(w) or known.get(w) or pieces[w] for w in words)
+        known.update((w, ids) for w, ids in made.items() if w not in pieces)
+        out = [np.frombuffer(b"".join(map(pieces.__getitem__, x)), dtype="<i4").tolist() for x in cut]
         for x, words in new.items():  # long ones aren't kept
             if len(x) > MEMORY_CHARS:
                 del pieces[x]
