@@ -15,11 +15,15 @@ def components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` undirected edges of long ids to ``(node, root)``, root being the least id that edges lead to.
 
     Alternates large-star and small-star steps: each node's larger neighbours are linked to its least neighbour, then its
-    smaller ones are, until nothing changes. A step is two aggregations on the node id with partial sums, and a step's
-    edges are never more than those before; each round is written to the shared folder, so lost executors cost a round.
+    smaller ones are, until nothing changes. A step is an aggregation on the node id with partial sums, and a join of the edges
+    with its one line a node; where a node with very many edges makes a partition large, adaptive execution splits it. A
+    step's edges are never more than those before, and an edge is two numbers. Each round is written to the shared folder, so
+    lost executors cost a round.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(MOST_ROUNDS):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

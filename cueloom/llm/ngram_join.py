@@ -14,13 +14,18 @@ different sets is found; equal sets are one node from the start. The steps:
 4. *Bundles.* Two groups in a list are kept apart only if their bitmaps, less both radii, prove that no member of one
    links to a member of the other. For that they are folded to the length of either group's smallest set, at which both
    radii hold. Components of the rest are bundles: all links lie inside them.
-5. *Search.* Only bundles' shingle sets are shipped, in blocks of at most ``BLOCK`` sets; a large bundle is searched block
-   by block pair. DivideSkip: the query's longest inverted lists are set aside, the short ones merged with a heap to those
-   that occur often enough, and these looked up in the long lists by binary search. A first pass leaves out sets already
-   known to be connected to the class that is largest then; a second one queries all of these but the members of one
-   class, as a link between two sets that were never queried can only lie inside that class.
+5. *Search.* Only bundles' shingle sets are shipped, in blocks of about ``BLOCK`` sets, and with each block of a larger
+   bundle a few sets of the whole bundle (pivots), so that its near copies become one class through these. Then all sets of
+   such a bundle but those of its largest class are queried, in chunks, against all of its blocks: a link between two sets that were
+   not queried lies inside that class, so none is lost that matters. What is shipped again grows with the sets outside,
+   not with the square of the bundle. DivideSkip: the query's longest inverted lists are set aside, the short ones merged
+   with a heap to those that occur often enough, and these looked up in the long lists by binary search. In a block, a
+   first pass leaves out sets already known to be connected to the class that is largest then; a second one queries all of
+   these but the members of one class.
 6. *Classes.* Components of the links found, with the least ``doc_id``.
 
+Lists of very many groups are compared in parts, a pair of parts a task, so a task holds at most ``2 * LIST_PART`` bitmaps.
+
 Shingles and sets are known by 64-bit hashes: a chance collision of two shingles counts only if both are in a compared
 pair, one of two sets' names has odds of about rows**2 / 2**65. Rows with null or blank text have an empty set and are
 alone. Rows with a null id take part but give none: their class is that of the least non-null id, else null.
@@ -35,20 +40,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, documents, slices, stored, text_bytes
+from .common import arrow_session, documents, frugal, slices, stored, text_bytes
 from .components import components
 from .shingles import shingle_sets
 
 WORDS, PERCENT = 5, 80
-SKETCH_BITS, SKETCH_PARTS = 20, 16
-BLOCK = 1024
-#: Up to so many sets in bundles, where each goes is broadcast (some 24 bytes a set); beyond, it is joined by a shuffle.
+#: Buckets of the count sketch (as powers of two), by the number of rows; the greatest is 8 MB on the driver.
+SKETCH_BITS, SKETCH_PARTS = (20, 23), 16
+#: Sets in a block, sets of a bundle that are searched along with each of its blocks, and groups in a part of a list.
+BLOCK, PIVOTS, LIST_PART = 256, 8, 512
+#: Up to so many rows, where sets go is broadcast (some 24 bytes a row); beyond, it is joined by a shuffle.
 BROADCAST_SETS = 400_000
-#: Bits of the filter that keeps most unneeded sets from being shipped; a set it lets through by chance is dropped later.
-FILTER_BITS = 24
+#: Bits of the filter that keeps most unneeded sets from being shipped (as powers of two), by their number; the greatest is
+#: 32 MB. A set it lets through by chance is dropped later.
+FILTER_BITS = (20, 28)
 #: DivideSkip's weight of a binary search against a heap step (a constant of the method).
 MU = 0.0085
 
@@ -90,8 +98,13 @@ def hamming(a: bytes, b: bytes, most: int | None = None) -> int:
     return int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _power(n: int, limits: tuple[int, int]) -> int:
+    """The least power of two that holds n, within limits."""
+    return min(max(limits[0], max(1, n - 1).bit_length()), limits[1])
+
+
+def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -100,36 +113,37 @@ def _sets(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
             yield part, shingle_sets(text_bytes(part, text), WORDS)
 
 
-_META = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+_META = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for part, sets in _sets(batches, "text"):
-        sigs, met = [], set()
-        maps = []
-        for s in sets:
-            sig = name_of(s)
-            sigs.append(sig)
-            if sig not in met:  # once a slice: bitmaps and counts of copies add nothing
-                met.add(sig)
-                counts += np.bincount(_bucket(s), minlength=len(counts)) if len(s) > 1 << 16 else 0
-                if len(s) <= 1 << 16:
-                    np.add.at(counts, _bucket(s), 1)
-                maps.append(bitmap(s))
-            else:
-                maps.append(None)
-        k = len(sets)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int64()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_META)
-    size = len(counts) // SKETCH_PARTS
-    for i in range(SKETCH_PARTS):
-        blob = counts[i * size : (i + 1) * size]
-        if blob.any():
-            yield pa.RecordBatch.from_pylist([{"row": 1, "part": i, "counts": zlib.compress(blob.astype("<u4").tobytes(), 1)}], schema=_META)
-
-
-def _sketch(meta: DataFrame) -> np.ndarray:
-    """Orders of magnitude of the counts, a byte each: a fixed 2**20 bytes for the driver and the broadcast."""
+def _describe(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, dtype=np.uint32)
+        for part, sets in _sets(batches, "text"):
+            sigs, met = [], set()
+            maps = []
+            for s in sets:
+                sig = name_of(s)
+                sigs.append(sig)
+                if sig not in met:  # once a slice: bitmaps and counts of copies add nothing
+                    met.add(sig)
+                    np.add.at(counts, _bucket(s, bits), 1)
+                    maps.append(bitmap(s))
+                else:
+                    maps.append(None)
+            k = len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int64()), part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_META)
+        size = len(counts) // SKETCH_PARTS
+        for i in range(SKETCH_PARTS):
+            blob = counts[i * size : (i + 1) * size]
+            if blob.any():
+                yield pa.RecordBatch.from_pylist([{"row": 1, "part": i, "counts": zlib.compress(blob.tobytes(), 1)}], schema=_META)
+
+    return run
+
+
+def _sketch(meta: DataFrame, bits: int) -> np.ndarray:
+    """Orders of magnitude of the counts, eight steps to an octave, a byte each."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -138,10 +152,10 @@ def _sketch(meta: DataFrame) -> np.ndarray:
                 x = np.frombuffer(zlib.decompress(blob), dtype="<u4").astype(np.int64)
                 sums[part] = sums[part] + x if part in sums else x
         for part, x in sums.items():
-            yield pa.RecordBatch.from_pylist([{"part": part, "counts": np.minimum(255, np.rint(12 * np.log2(x + 1))).astype(np.uint8).tobytes()}], schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([{"part": part, "counts": np.minimum(255, np.rint(8 * np.log2(x + 1))).astype(np.uint8).tobytes()}], schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
 
-    rows = meta.where("row = 1").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    rows = meta.where("row = 1").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(frugal(add), "part int, counts binary").collect()
+    out = np.zeros(1 << bits, dtype=np.uint8)
     size = len(out) // SKETCH_PARTS
     for part, blob in rows:
         out[part * size : (part + 1) * size] = np.frombuffer(blob, dtype=np.uint8)
@@ -154,6 +168,7 @@ def _short_lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
+        bits = len(often).bit_length() - 1
         for _, sets in _sets(batches, "text"):
             keys, sigs, sizes, met = [], [], [], set()
             for s in sets:
@@ -163,14 +178,14 @@ def _short_lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     continue
                 met.add(sig)
                 p = n - -(-PERCENT * n // 100) + 1
-                order = np.lexsort((s, often[_bucket(s)]))[:p]
+                order = np.lexsort((s, often[_bucket(s, bits)]))[:p]
                 keys.append(s[order].view(np.int64))
                 sigs.append(np.full(p, sig, np.int64))
                 sizes.append(np.full(p, n, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sigs, sizes)], names=["h", "sig", "n"])
 
-    return docs.mapInArrow(run, "h long, sig long, n long")
+    return docs.mapInArrow(frugal(run), "h long, sig long, n long")
 
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +226,12 @@ def _distance_column(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(ham, pa.int64())], names=[*(b.schema.names[i] for i in keep), "ham"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in ("bits", "lead_bits")) + ", ham long"
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, g, low, high, radius, bits) sorted by h: pairs of groups that bitmaps can't keep apart."""
+    """Of rows (h, g, low, high, radius, bits) sorted by h, a list or a pair of its parts: pairs of groups that bitmaps can't
+    keep apart."""
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         out = []
@@ -343,19 +359,45 @@ def classes(sets: list[np.ndarray], block: np.ndarray | None = None) -> list[int
     return [find(i) for i in range(len(sets))]
 
 
+def crossed(sets: list[np.ndarray], asked: list[np.ndarray]) -> list[tuple[int, int]]:
+    """For each of ``asked`` its links to ``sets``, as places, one for each of their classes as far as this call finds them."""
+    index = Index([*sets, *asked])
+    parent = list(range(len(sets) + len(asked)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    for q in range(len(sets), len(sets) + len(asked)):
+        for r in index.linked(q).tolist():
+            a, b = find(q), find(r)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((q, r))
+    return out
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (task, sig, shingles) sorted by task and set: links as (a, b), one for each set and its class."""
+    """Of rows (task, sig, asked, shingles) sorted by task and set: links as (a, b). Where some sets are asked for, their
+    links; else one for each set and its class."""
 
     def flush(rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
-        first = classes([np.frombuffer(r[2], dtype=np.uint64) for r in rows])
-        return [(rows[i][1], rows[j][1]) for i, j in enumerate(first) if i != j]
+        sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+        asked = [i for i, r in enumerate(rows) if r[2]]
+        if not asked:
+            return [(rows[i][1], rows[j][1]) for i, j in enumerate(classes(sets)) if i != j]
+        order = [i for i, r in enumerate(rows) if not r[2]] + asked
+        found = crossed([sets[i] for i in order[: -len(asked)]], [sets[i] for i in asked])
+        return [(rows[order[q]][1], rows[order[r]][1]) for q, r in found]
 
     task, rows = None, []
     for b in batches:
         made: list[tuple[int, int]] = []
-        for r in zip(b.column("task").to_pylist(), b.column("sig").to_pylist(), b.column("shingles").to_pylist(), strict=True):
+        for r in zip(*(b.column(c).to_pylist() for c in ("task", "sig", "asked", "shingles")), strict=True):
             if r[0] != task:
                 made += flush(rows)
                 task, rows = r[0], []
@@ -368,18 +410,19 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(sig, shingles) of rows whose set is needed, found with a fixed-size filter and then exactly."""
-    bits = 1 << FILTER_BITS
+    """(sig, shingles) of rows whose set is needed, and a few others, found with a filter."""
+    power = _power(16 * needed.count(), FILTER_BITS)
+    bits = 1 << power
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, dtype=np.uint8)
         for b in batches:
             x = b.column(0).to_numpy().view(np.uint64)
-            seen[(x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = 1
+            seen[(x >> np.uint64(64 - power)).astype(np.int64)] = 1
         yield pa.RecordBatch.from_pylist([{"seen": zlib.compress(np.packbits(seen).tobytes(), 1)}])
 
     marks = np.zeros(bits // 8, dtype=np.uint8)
-    for (blob,) in needed.select("sig").coalesce(8).mapInArrow(mark, "seen binary").toLocalIterator():
+    for (blob,) in needed.select("sig").coalesce(32).mapInArrow(frugal(mark), "seen binary").toLocalIterator():
         marks |= np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
@@ -389,7 +432,7 @@ def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             sigs, out, met = [], [], set()
             for s in sets:
                 sig = name_of(s)
-                at = (sig & (1 << 64) - 1) >> (64 - FILTER_BITS)
+                at = (sig & (1 << 64) - 1) >> (64 - power)
                 if sig not in met and marks[at >> 3] >> (7 - (at & 7)) & 1:
                     met.add(sig)
                     sigs.append(sig)
@@ -397,17 +440,53 @@ def _needed_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(out, pa.binary())], names=["sig", "shingles"])
 
-    return docs.mapInArrow(run, "sig long, shingles binary")
-
-
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of ``df``."""
+    return docs.mapInArrow(frugal(run), "sig long, shingles binary")
+
+
+def _links(shingles: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b) of the sets that ``placed`` (sig, task, asked) brings together."""
+    placed = stored(placed, "placed")
+    near = F.broadcast if placed.count() <= BROADCAST_SETS else lambda x: x
+    shipped = shingles.join(near(placed), "sig").select("task", "sig", "asked", "shingles")
+    return stored(shipped.repartition("task").sortWithinPartitions("task", "sig").mapInArrow(frugal(_search), "a long, b long"), "links")
+
+
+def _linked(docs: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Links of the sets in (sig, bundle, sets), enough of them to make up all classes."""
+    bundles = stored(bundles.withColumn("blocks", F.ceil(F.col("sets") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")), "bundles")
+    shingles = stored(_needed_sets(docs.select("text"), bundles), "shingles")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    large = bundles.where("blocks > 1")
+    pivots = large.where(F.pmod(F.xxhash64("sig", F.lit(3)), F.col("sets")) < PIVOTS).withColumn("block", every("blocks"))
+    placed = bundles.union(pivots.select(bundles.columns)).select("sig", F.xxhash64("bundle", "block").alias("task")).distinct()
+    links = _links(shingles, placed.withColumn("asked", F.lit(False)))
+    # what is outside a large bundle's largest class: in chunks, against all of its blocks
+    found = components(links.join(large.select(F.col("sig").alias("a")), "a", "left_semi"))
+    classed = large.join(found.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    classed = stored(classed, "classed")
+    largest = classed.groupBy("bundle", "root").agg(F.count("*").alias("k")).groupBy("bundle").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("all"))
+    largest = largest.select("bundle", F.col("m.root").alias("largest"), F.ceil((F.col("all") - F.col("m.k")) / BLOCK).cast("int").alias("chunks")).where("chunks > 0")
+    classed = stored(classed.join(largest, "bundle"), "outside")
+    if classed.isEmpty():
+        return links
+    task = F.xxhash64("bundle", "block", "chunk")
+    asked = classed.where("root <> largest").withColumn("chunk", F.pmod(F.xxhash64("sig", F.lit(4)), F.col("chunks")).cast("int")).withColumn("block", every("blocks"))
+    held = classed.withColumn("chunk", every("chunks"))
+    placed = asked.select("sig", task.alias("task"), F.lit(True).alias("asked")).union(held.select("sig", task.alias("task"), F.lit(False).alias("asked")))
+    return links.union(_links(shingles, placed.groupBy("task", "sig").agg(F.max("asked").alias("asked"))))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: Column | None = None, details: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of ``df``. With ``details`` also ``mark``, a long that is passed
+    on for each row, and ``class_id``, the name of the row's class of sets, null for an empty set."""
     arrow_session(df.sparkSession)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    meta = stored(docs.mapInArrow(_describe, "row long, doc_id long, n long, sig long, bits binary, part int, counts binary"), "sets")
+    marked = F.lit(None).cast("long") if mark is None else mark
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), marked.alias("mark"), F.col(text).alias("text"))
+    bits = _power(df.count(), SKETCH_BITS)
+    meta = stored(docs.mapInArrow(frugal(_describe(bits)), "row long, doc_id long, mark long, n long, sig long, bits binary, part int, counts binary"), "sets")
     rows = meta.where("row = 0")
-    lists = _short_lists(docs.select("text"), _sketch(meta))
-    lists = stored(lists.select("h", "sig").repartition("h").sortWithinPartitions("h", "sig").mapInArrow(_shared_lists, "h long, sig long, lead long"), "lists")
+    lists = _short_lists(docs.select("text"), _sketch(meta, bits))
+    lists = stored(lists.select("h", "sig").repartition("h").sortWithinPartitions("h", "sig").mapInArrow(frugal(_shared_lists), "h long, sig long, lead long"), "lists")
 
     nodes = rows.where("n > 0 and bits is not null").groupBy("sig").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     nodes = stored(nodes.join(lists.select("sig").union(lists.select(F.col("lead").alias("sig"))).distinct(), "sig", "left_semi"), "nodes")
@@ -425,30 +504,25 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     met = lists.select("h", "sig").join(groups.select("sig", "g"), "sig").select("h", "g").distinct()
     # lists of the same groups tell the same: one of them stays
     shape = met.groupBy("h").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")).where("k > 1")
-    several = shape.groupBy("k", "x", "y").agg(F.min("h").alias("h")).select("h")
-    meetings = met.join(several, "h", "left_semi").join(about, "g").select("h", "g", "low", "high", "radius", "bits")
-    ties = meetings.repartition("h").sortWithinPartitions("h").mapInArrow(_may_link, "a long, b long")
+    several = shape.groupBy("k", "x", "y").agg(F.min("h").alias("h")).select("h", "k")
+    parts = F.ceil(F.col("k") / LIST_PART).cast("int")
+    part = F.pmod(F.xxhash64("g", F.lit(2)), parts).cast("int")
+    pair = F.xxhash64("h", F.least(part, F.col("other")), F.greatest(part, F.col("other")))
+    meetings = met.join(several, "h").withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.when(F.col("k") <= LIST_PART, F.col("h")).otherwise(pair).alias("h"), "g")
+    meetings = meetings.join(about, "g").select("h", "g", "low", "high", "radius", "bits")
+    ties = meetings.repartition("h").sortWithinPartitions("h").mapInArrow(frugal(_may_link), "a long, b long")
     tied = components(ties)
     bundles = groups.join(tied.select(F.col("node").alias("g"), F.col("root")), "g", "left").select("sig", F.coalesce("root", "g").alias("bundle"))
     sizes = bundles.groupBy("bundle").agg(F.count("*").alias("sets")).where("sets > 1")
-    bundles = stored(bundles.join(sizes, "bundle"), "bundles")
-    # search: a task for a bundle, or for each pair of its blocks
-    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    placed = bundles.select("sig", "bundle", mine.alias("mine"), other.alias("other"))
-    placed = placed.select("sig", F.xxhash64("bundle", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
-    shipped = _needed_sets(docs.select("text"), bundles)
-    shipped = shipped.join(F.broadcast(placed) if bundles.count() <= BROADCAST_SETS else placed, "sig").select("task", "sig", "shingles")
-    links = shipped.repartition("task").sortWithinPartitions("task", "sig").mapInArrow(_search, "a long, b long")
-    linked = components(links)
+    linked = components(_linked(docs, bundles.join(sizes, "bundle")))
     # classes: the least id of each set, then of each class
     least = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     named = least.join(linked.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(whole, "root").select("sig", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(whole, "root").select("sig", "component_id", "root")
+    out = rows.select("doc_id", "mark", F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left")
+    more = ["mark", F.when(F.col("n_shingles") > 0, F.col("root")).alias("class_id")] if details else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def op5_ngram_join(spark, sf_dir):
