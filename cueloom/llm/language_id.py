@@ -70,16 +70,27 @@ def features(texts: list[bytes], dims: int = DIMENSIONS) -> np.ndarray:
     return out / np.maximum(norm, 1e-9)
 
 
+def _largest_singular(x: np.ndarray, weight: np.ndarray, rounds: int = 30) -> float:
+    """About the largest singular value of the weighted rows, by power iteration."""
+    v = np.ones(x.shape[1], dtype=np.float32)
+    for _ in range(rounds):
+        v = x.T @ (weight * (x @ v))
+        norm = float(np.linalg.norm(v))
+        v /= norm or 1.0
+    return norm**0.5
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss; y is +1 or -1. Classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c * len(y) / 100
-    w = v = np.zeros(x.shape[1])
-    rate = 1 / (1 + 2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2)
+    """Weights and, last, the bias of a linear machine with squared hinge loss; y is +1 or -1. Classes weigh the same."""
+    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+    y = y.astype(np.float32)
+    weight = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c * len(y) / 100).astype(np.float32)
+    w = v = np.zeros(x.shape[1], dtype=np.float32)
+    rate = np.float32(1 / (1 + 2.1 * _largest_singular(x, weight) ** 2))
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
-        after = v - rate * (v - 2 * x.T @ (weight * y * slack))
-        v = after + k / (k + 3) * (after - w)
+        after = v - rate * (v - 2 * (x.T @ (weight * y * slack)))
+        v = after + np.float32(k / (k + 3)) * (after - w)
         w = after
     return w
 
@@ -93,7 +104,7 @@ class Hierarchy:
         family = np.array([_FAMILY.get(z, f"own:{z}") for z in langs])
         self.families = sorted(set(family))
         self.members = {f: sorted(set(y[family == f])) for f in self.families}
-        self.top = np.array([fit_svm(x, np.where(family == f, 1.0, -1.0)) for f in self.families]) if len(self.families) > 1 else None
+        self.top = np.array([fit_svm(x, np.where(family == f, 1.0, -1.0)) for f in self.families], dtype=np.float32) if len(self.families) > 1 else None
         self.pairs = {}
         for f, members in self.members.items():
             for i, a in enumerate(members):
@@ -102,11 +113,10 @@ class Hierarchy:
                     self.pairs[f, a, b] = fit_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], list[float]]:
-        x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
         if self.top is None:
             family, sure = np.zeros(len(x), dtype=int), np.full(len(x), 4.0)
         else:
-            margins = x @ self.top.T
+            margins = (x @ self.top[:, :-1].T + self.top[:, -1]).astype(np.float64)
             family = margins.argmax(axis=1)
             ranked = np.sort(margins, axis=1)
             sure = ranked[:, -1] - ranked[:, -2]
@@ -117,7 +127,8 @@ class Hierarchy:
             votes, total = np.zeros((len(rows), len(members))), np.zeros((len(rows), len(members)))
             for i, a in enumerate(members):
                 for j in range(i + 1, len(members)):
-                    m = x[rows] @ self.pairs[f, a, members[j]]
+                    w = self.pairs[f, a, members[j]]
+                    m = x[rows] @ w[:-1] + w[-1]
                     votes[:, i] += m >= 0
                     votes[:, j] += m < 0
                     total[:, i] += m
@@ -148,9 +159,9 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text",
     return Hierarchy(np.frombuffer(b"".join(r[2] for r in got), dtype=np.float32).reshape(len(got), -1), [r[1] for r in got])
 
 
-def identify(df: DataFrame, model: Hierarchy | None, text: str = "text", letter: str | None = None) -> DataFrame:
-    """Appends ``lang_pred`` and ``score``, and if ``letter`` names a column, whether the text has a letter: ``und`` is also
-    what texts get without a model, and can be a language's label."""
+def identify(df: DataFrame, model: Hierarchy | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", letter: str | None = None) -> DataFrame:
+    """Appends the predicted language and its score, and if ``letter`` names a column, whether the text has a letter: ``und``
+    is also what texts get without a model, and can be a language's label. Columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list) -> dict:
@@ -161,9 +172,9 @@ def identify(df: DataFrame, model: Hierarchy | None, text: str = "text", letter:
             for i, a, s in zip(rows, *got, strict=True):
                 langs[i], scores[i] = a, s
         found = set(rows)
-        return {"lang_pred": langs, "score": scores} | ({letter: [i in found for i in range(len(texts))]} if letter else {})
+        return {lang_pred: langs, score: scores} | ({letter: [i in found for i in range(len(texts))]} if letter else {})
 
-    return per_text(df, lambda: run, "lang_pred string, score double" + (f", {letter} boolean" if letter else ""), text, raw=False)
+    return per_text(df, lambda: run, f"`{lang_pred}` string, `{score}` double" + (f", `{letter}` boolean" if letter else ""), text, raw=False)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, documents, per_text
+from .common import arrow_session, documents, frugal, per_text
 from .shingles import _mix
 
 K, SKETCHES = 8, 48
@@ -180,7 +180,7 @@ def with_next(df: DataFrame, function, schema: str, doc_id: str = "doc_id", text
         if out:
             yield pa.RecordBatch.from_pydict({n: [m[i] for m in out] for i, n in enumerate(names)})
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(frugal(run), schema)
 
 
 def _edits(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -11,7 +11,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = (1 << 64) - 1
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
