@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import document_queries
 from .functions import text as X
 from .functions import tracks, urls
 from .operators import merging, ordered, segmentation, state
-from .plans import tracklist
-from .plans.rewrite import rewrite
 from .sources.translators import translate_batches
 
 # --- Tables as captions ---------------------------------------------------------------------------------------------
@@ -83,7 +82,7 @@ def _split(spark, d):
 
 def split_to_width(spark, d):
     c = cues_conv(spark, d)
-    return c.select("track_id", "pos", F.posexplode(segmentation.pieces(F.col("text"))).alias("part_no", "part")).withColumn("part_no", F.col("part_no").cast("long"))
+    return c.select("track_id", "pos", F.posexplode(segmentation.pieces(F.col("text"))).alias("part_no", "p")).select("track_id", "pos", F.col("part_no").cast("long").alias("part_no"), F.col("p.text").alias("part"))
 
 
 def cue_time_slices(spark, d):
@@ -123,19 +122,6 @@ def recovering_batch_map(spark, d):
 
 TRACK_NAMES = ["CC1", "CC4", "CC5", "DTVCC1", "DTVCC63", "DTVCC64", "SERVICE1", "Service 63", "SERVICE0", "CEA-608", "EIA 708", "Embedded 608/708", "Line 21", "XCC1", "English"]
 PAGE_ROUTES = [("tracked", r"[?&]utm_"), ("page", r"/[a-z]+/"), ("root", r"^https?://")]
-LANGUAGES = [("de", "Deutsch"), ("en", "English")]
-
-
-def _nation_tracks(spark, d):
-    n = _read(spark, d, "nation")
-    bare = F.concat(F.lit('{"captionTracks":[{"languageCode":"en","isTranslatable":false},{"languageCode":"'), F.col("n_name"), F.lit('"}],"audioTracks":[{"visibility":'), F.col("n_regionkey").cast("string"), F.lit("}]"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(',"defaultCaptionTrackIndex":'), F.col("n_nationkey").cast("string"))).otherwise(""), F.lit("}"))
-    return n.select("n_nationkey", bare.alias("body"), F.when(F.col("n_regionkey") == 0, "m.youtube.com").otherwise("www.youtube.com").alias("host"))
-
-
-def tracklist_flags(spark, d):
-    out = tracklist.rewritten(_nation_tracks(spark, d), LANGUAGES).select("n_nationkey", tracklist.parsed(F.col("body")).alias("t"))
-    name = F.col("t.translationLanguages")[0]["languageName"]
-    return out.select("n_nationkey", F.forall("t.captionTracks", lambda c: c["isTranslatable"]).alias("translatable"), F.col("t.audioTracks")[0]["visibility"].alias("visibility"), F.col("t.audioTracks")[0]["captionsInitialState"].alias("initial_state"), F.col("t.defaultCaptionTrackIndex").alias("default_index"), F.coalesce(name["simpleText"], F.concat(F.lit("runs:"), name["runs"][0]["text"])).alias("first_language"))
 
 
 def rows_floor(spark, d):
@@ -145,16 +131,6 @@ def rows_floor(spark, d):
     return n.select("n_nationkey", F.array_join(F.transform(merging.floor_rows(positions), lambda p: p["_rc"]), ",").alias("rows"))
 
 
-def caption_rewrite(spark, d):
-    """Conversations as timed-text documents, rewritten."""
-    p = F.concat(F.lit('<p t="'), (F.col("turn") * 2000).cast("string"), F.lit('" d="'), (F.length("text") * 20).cast("string"), F.lit('">'), X.escape_xml(F.col("text")), F.lit("</p>"))
-    rows = _read(spark, d, "conversations").select("conv_id", "turn", p.alias("p"))
-    body = F.concat(F.lit('<timedtext format="3"><head><wp id="1" rc="1"/></head><body>'), ordered.concatenated("p", "turn"), F.lit("</body></timedtext>"))
-    docs = rows.groupBy("conv_id").agg(body.alias("body"))
-    url = F.concat(F.lit("https://www.youtube.com/api/timedtext?v="), F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 2 == 0, "&kind=asr").otherwise(""))
-    return rewrite(docs.select(F.col("conv_id").cast("string").alias("track_id"), url.alias("url"), "body"))
-
-
 def queries() -> dict:
     docs = lambda s, d: _read(s, d, "documents")
     conv = lambda s, d: _read(s, d, "conversations")
@@ -192,13 +168,11 @@ def queries() -> dict:
         "content_type_route": lambda s, d: _read(s, d, "nation").select("n_nationkey", urls.body_kind(F.element_at(F.array(*map(F.lit, ["application/json; charset=UTF-8", "application/x-protobuf", "text/html"])), F.col("n_nationkey") % 3 + 1)).alias("kind")),
         "argument_map": lambda s, d: events(s, d).select("event_id", F.element_at(urls.arguments(F.concat(F.lit('type="'), F.col("event_type"), F.lit('"&id='), F.col("event_id").cast("string"))), "type").alias("type")),
         "rows_floor": rows_floor,
-        "tracklist_flags": tracklist_flags,
         "json_path_get": lambda s, d: events(s, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
         "bounded_cache": lambda s, d: state.bounded_cache(events(s, d), "user_id", "event_type", "event_id").select("user_id", "first_seen", "value"),
         "sticky_language": lambda s, d: docs(s, d).select("doc_id", "source", F.when(F.col("doc_id") % 5 == 0, F.col("lang")).alias("tlang")).select("doc_id", state.sticky("tlang", "doc_id", "source").alias("tlang")),
         "recovering_batch_map": recovering_batch_map,
-        "caption_rewrite": caption_rewrite,
-    }
+    } | document_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -210,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
     has = r"regexp_matches(split_part(url, '#', 1), '[?&]{}(=|&|$)')"
     marker = "split_part(url, '#', 1) || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'subtype=Translate' || substr(url, length(split_part(url, '#', 1)) + 1)"
     kept = "list_aggregate(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^utm_source(=|$)')), 'string_agg', '&')"
-    return merged | {
+    return merged | document_queries.oracle_sql(SLICES, _escape) | {
         "caption_parts": f"WITH RECURSIVE {CONV}, {SLICES} SELECT track_id, pos, part_no, start_ms, dur_ms, {_escape('text')} || '&#x000A;' || {_escape(chr(39) + 'T: ' + chr(39) + ' || text')} AS text FROM slices",
         "text_display_width": f"SELECT doc_id, CAST({_width('text')} AS BIGINT) AS width FROM documents",
         "percent_encoded_length": f"SELECT doc_id, CAST(3 * strlen(text) - 2 * length(regexp_replace(text, '[^{unreserved}]', '', 'g')) AS BIGINT) AS encoded_len FROM documents",
@@ -242,7 +216,6 @@ SELECT track_id, pos, batch_no FROM b""",
         "content_type_route": "SELECT n_nationkey, ['json', 'protobuf', NULL][n_nationkey % 3 + 1] AS kind FROM nation",
         "argument_map": "SELECT event_id, event_type AS type FROM events",
         "rows_floor": "SELECT n_nationkey, '1,' || greatest(n_nationkey, 2) || ',x' AS rows FROM nation",
-        "tracklist_flags": "SELECT n_nationkey, true AS translatable, CAST(2 AS INTEGER) AS visibility, CAST(3 AS INTEGER) AS initial_state, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 0 END AS INTEGER) AS default_index, CASE WHEN n_regionkey = 0 THEN 'runs:Deutsch' ELSE 'Deutsch' END AS first_language FROM nation",
         "json_path_get": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
         "bounded_cache": "SELECT user_id, min(event_id) AS first_seen, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id ORDER BY first_seen DESC, user_id DESC LIMIT 50",
         "sticky_language": "SELECT doc_id, last_value(CASE WHEN doc_id % 5 = 0 THEN lang END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS tlang FROM documents",

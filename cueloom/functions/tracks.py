@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,9 +35,9 @@ def is_broadcast_name(name: Column, ascii_only: bool = False) -> Column:
     return out
 
 
-def has_roll_up(windows: Column, cues: Column) -> Column:
+def has_roll_up(has_window: Column, cues: Column, refers: Callable[[Column], Column]) -> Column:
     """Whether a body has a window and a cue that refers to one."""
-    return F.coalesce(windows.isNotNull() & F.exists(cues, lambda p: p["_w"].isNotNull() | p["_a"].isNotNull()), F.lit(False))
+    return F.coalesce(has_window & F.exists(cues, refers), F.lit(False))
 
 
 def caption_mode(automatic: Column, broadcast: Column) -> Column:

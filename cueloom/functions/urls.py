@@ -10,14 +10,20 @@ CAPTION_HOSTS = ("www.youtube.com", "m.youtube.com")
 CAPTION_PATH = "/api/timedtext"
 MARKER = ("subtype", "Translate")
 
-#: Routes by URL pattern; the first that matches counts.
+#: Routes by URL pattern, by direction and by kind of body; the first that matches counts.
 ROUTES = [
-    ("player", r"^https?://(?:www|m|youtubei)\.(?:youtube|googleapis)\.com/youtubei/v1/player(?:\?|$)"),
-    ("watch", r"^https?://(?:www|m|youtubei)\.(?:youtube|googleapis)\.com/youtubei/v1/get_watch(?:\?|$)"),
-    ("browse", r"^https?://(?:www|m|youtubei)\.(?:youtube|googleapis)\.com/youtubei/v1/browse(?:\?|$)"),
-    ("translated_captions", r"^https?://(?:www|m)\.youtube\.com/api/timedtext\?.*subtype=Translate"),
-    ("captions", r"^https?://(?:www|m)\.youtube\.com/api/timedtext(?:\?|$)"),
+    ("player_json", r"^https?://(www|m|tv)\.youtube\.com/youtubei/v1/player(\?.+)?$"),
+    ("player_proto", r"^https?://youtubei\.googleapis\.com/youtubei/v1/player(\?.+)?$"),
+    ("watch_proto", r"^https?://youtubei\.googleapis\.com/youtubei/v1/get_watch(\?.+)?$"),
+    ("translated_captions", r"^https?://(www|m)\.youtube\.com/api/timedtext\?.*subtype=Translate.*$"),
+    ("captions", r"^https?://(www|m)\.youtube\.com/api/timedtext(\?.+)?$"),
 ]
+#: Which routes a request takes, and which a response.
+REQUEST_ROUTES, RESPONSE_ROUTES = ("player_json", "player_proto", "captions"), ("player_json", "player_proto", "watch_proto", "translated_captions")
+
+
+def routes_of(names: tuple[str, ...]) -> list[tuple[str, str]]:
+    return [r for r in ROUTES if r[0] in names]
 
 
 def route(url: Column, routes: list[tuple[str, str]] = ROUTES) -> Column:

@@ -1,79 +1,80 @@
 """The flagship plan: caption documents in, bilingual caption documents out.
 
-One shuffle brings a track's cues together in order; classification, timing, cutting and merging are column expressions.
-Translation is the one plug-in. A document that can't be parsed, or isn't timed text, comes out unchanged.
+A document is one row from scan to sink, so the plan has no shuffle, no join and needs no ids: rows with null or repeated ids
+are documents of their own. Parsing, merging and writing are built-in expressions; timing and cutting, which need all cues of
+a document in order, and translation are one Arrow function each. A document that isn't timed text comes out unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import tracks, urls
-from ..operators import merging, ordered, segmentation
+from ..operators import merging
+from ..operators.pacing import paced_cues
 from ..sources import srv3
-from ..sources.translators import Translator, stand_in, translate_batches
+from ..sources.translators import Translator, stand_in, translated_texts
 from .settings import Settings
 
-
-def classified(documents: DataFrame) -> DataFrame:
-    """Adds ``doc`` (parsed, null if it can't be) and ``mode`` to (track_id, url, body)."""
-    df = documents.withColumn("doc", srv3.parsed(F.col("body")))
-    automatic = urls.is_automatic(F.col("url"))
-    broadcast = tracks.is_broadcast_name(urls.query_value(F.col("url"), "name")) | tracks.has_roll_up(F.col("doc.body.w"), F.col("doc.body.p"))
-    return df.withColumn("mode", tracks.caption_mode(automatic, broadcast))
-
-
-def cues_of(df: DataFrame) -> DataFrame:
-    """A row for each cue of classified documents."""
-    p = df.where("doc is not null").select("track_id", "mode", F.posexplode("doc.body.p").alias("pos", "p"))
-    return p.select("track_id", "mode", "pos", X.leading_integer(F.col("p._t"), True).alias("start_ms"), X.leading_integer(F.col("p._d")).alias("dur_ms"), merging.cue_text(F.col("p._VALUE"), F.col("p.s._VALUE")).alias("text"), F.col("p.s").isNotNull().alias("segmented"), F.col("p._t").alias("t"), F.col("p._d").alias("d"), F.col("p._w").alias("w"), F.col("p._a").alias("a"), F.col("p._wp").alias("wp"))
-
-
-def timed(cues: DataFrame, settings: Settings) -> DataFrame:
-    """Cues after the rules of their track's mode; automatic ones cut."""
-    automatic, rest = cues.where("mode = 'automatic'"), cues.where("mode <> 'automatic'")
-    cut = segmentation.split_cues(automatic, settings.max_width)
-    rest = ordered.next_start(rest)
-    broadcast = F.col("mode") == "broadcast"
-    has_text = broadcast & ~X.is_blank(F.col("text"))
-    rest = rest.withColumn("dur_ms", ordered.trimmed_duration(F.col("start_ms"), F.col("dur_ms"), F.col("next_ms"), has_text))
-    rest = rest.withColumns({"was_split": F.lit(False), "shortened": F.coalesce(F.col("dur_ms") < X.leading_integer(F.col("d")), F.lit(False)), "part_no": F.lit(0)})
-    both = cut.select(cut.columns).unionByName(rest.select(cut.columns))
-    rolled = F.col("mode") != "official"
-    return both.withColumn("w", F.when(~rolled, F.col("w"))).withColumn("a", F.when(~rolled, F.col("a")))
-
-
-def batched(cues: DataFrame, settings: Settings) -> DataFrame:
-    """(track_id, batch_no, rows): automatic captions by encoded size, others by number of rows."""
-    cues = ordered.renumbered(cues).select("track_id", "mode", "out_pos", "text")
-    by_size = ordered.size_bounded_batches(cues.where("mode = 'automatic'"), X.percent_encoded_length(F.col("text")), settings.max_encoded_length, pos="out_pos")
-    by_rows = ordered.fixed_batches(cues.where("mode <> 'automatic'"), settings.batch_rows, pos="out_pos")
-    rows = F.array_sort(F.collect_list(F.struct("out_pos", "text")))
-    return by_size.unionByName(by_rows).groupBy("track_id", "batch_no").agg(rows.alias("rows")).withColumn("texts", F.col("rows.text"))
-
-
-def translated(cues: DataFrame, translate: Translator, settings: Settings, concurrency: int | None = None) -> DataFrame:
-    """Appends ``translation``, an empty one where there is none."""
-    numbered = ordered.renumbered(cues)
-    answers = translate_batches(batched(cues, settings), translate, concurrency=concurrency, by_row=settings.method == "Row")
-    pairs = answers.select("track_id", F.explode(F.arrays_zip(F.col("rows.out_pos").alias("out_pos"), F.col("translations").alias("translation"))).alias("x")).select("track_id", "x.out_pos", "x.translation")
-    return numbered.join(pairs, ["track_id", "out_pos"], "left").withColumn("translation", F.coalesce("translation", F.lit("")))
-
-
-def rewrite(documents: DataFrame, translate: Translator = stand_in, settings: Settings = Settings(), concurrency: int | None = None) -> DataFrame:
-    """(track_id, url, body) to (track_id, url, body, caption_mode, original_len, modified_len, cues)."""
-    df = classified(documents)
-    cues = translated(timed(cues_of(df), settings), translate, settings, concurrency)
-    content = F.coalesce(merging.bilingual(F.col("text"), F.col("translation"), settings.position, settings.translation_only), F.when(F.col("text") == X.BLANK, "").otherwise(X.escape_xml(F.col("text"))))
-    same = F.col("dur_ms") == X.leading_integer(F.col("d"))
-    t = F.when(F.col("start_ms") == X.leading_integer(F.col("t"), True), F.col("t")).otherwise(F.coalesce(F.col("start_ms").cast("string"), F.col("t")))
-    d = F.when(same, F.col("d")).otherwise(F.coalesce(F.col("dur_ms").cast("string"), F.col("d")))
-    element = srv3.cue_element(t, d, F.col("w"), F.col("a"), F.col("wp"), F.col("segmented"), content)
-    lines = cues.select("track_id", "out_pos", element.alias("element")).groupBy("track_id").agg(ordered.concatenated("element", "out_pos").alias("cue_text"), F.count("*").alias("cues"))
-    windows = F.when(F.col("mode") == "official", F.col("doc.body.w"))
-    body = srv3.written(F.col("doc"), merging.floor_rows(F.col("doc.head.wp")), windows, F.coalesce("cue_text", F.lit("")))
-    out = df.join(lines, "track_id", "left").withColumn("made", F.when(F.col("doc").isNotNull(), body))
-    modified = F.coalesce("made", "body")
-    return out.select("track_id", "url", modified.alias("body"), F.when(F.col("doc").isNotNull(), F.col("mode")).alias("caption_mode"), X.utf16_length(F.col("body")).alias("original_len"), X.utf16_length(modified).alias("modified_len"), F.coalesce("cues", F.lit(0)).cast("long").alias("cues"))
+#: What the response says about itself.
+VERSION, ORIGIN, UNCHANGED = "23", "standalone-no-boxjs", "unchanged"
+AUTOMATIC_MODE, BROADCAST_MODE = "fixed-two-lines-split-long-cues", "fixed-two-lines-no-roll-up"
+
+
+def parsed(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Adds ``_gaps`` and ``_cues`` (null if the body isn't timed text) and ``_mode`` to (url, body)."""
+    df = documents.withColumn("_clean", srv3.cleaned(F.col("body")))
+    df = df.withColumn("_cues", srv3.cues(F.col("_clean")))
+    roll_up = tracks.has_roll_up(srv3.has_window(F.col("_clean")), F.col("_cues"), lambda c: srv3.has_attribute(c, "w") | srv3.has_attribute(c, "a"))
+    broadcast = tracks.is_broadcast_name(urls.query_value(F.col("url"), "name")) | roll_up
+    df = df.withColumn("_mode", tracks.caption_mode(urls.is_automatic(F.col("url")), broadcast))
+    clean = srv3.with_positions(F.col("_clean"), settings.least_rows)
+    return df.withColumn("_gaps", srv3.gaps(F.when(F.col("_mode") == "official", clean).otherwise(srv3.without_windows(clean)))).drop("_clean")
+
+
+def paced_parts(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Adds ``_parts``, the document's cues after the rules of its mode."""
+    starts = F.transform("_cues", lambda c: X.leading_integer(srv3.attribute(c, "t"), True))
+    durations = F.transform("_cues", lambda c: X.leading_integer(srv3.attribute(c, "d")))
+    return df.withColumn("_parts", paced_cues(F.col("_mode"), starts, durations, F.col("_cues.text"), settings.max_width))
+
+
+def headers(mode: Column, original: Column, modified: Column, prefix: str = "X-Captions") -> Column:
+    """The seven response headers as a map."""
+    values = {
+        "Version": F.lit(VERSION),
+        "Settings": F.lit(ORIGIN),
+        "ASR-Mode": F.when(mode == "automatic", AUTOMATIC_MODE).otherwise(UNCHANGED),
+        "Broadcast-Mode": F.when(mode == "broadcast", BROADCAST_MODE).otherwise(UNCHANGED),
+        "Caption-Mode": mode,
+        "XML-Original-Length": original.cast("string"),
+        "XML-Modified-Length": modified.cast("string"),
+    }
+    return F.when(mode.isNotNull(), F.create_map(*(x for k, v in values.items() for x in (F.lit(f"{prefix}-{k}"), v))))
+
+
+def rewrite(documents: DataFrame, translate: Translator = stand_in, settings: Settings = Settings()) -> DataFrame:
+    """(track_id, url, body) to (track_id, url, body, caption_mode, original_len, modified_len, cues, headers)."""
+    df = paced_parts(parsed(documents, settings), settings)
+    df = df.withColumn("_translations", translated_texts(F.col("_mode"), F.col("_parts.text"), translate, settings))
+    rolled = F.col("_mode") != "official"
+    dropped = F.when(rolled, F.array(F.lit("w"), F.lit("a"))).otherwise(F.array().cast("array<string>"))
+
+    def element(x: Column) -> Column:
+        part, cue = x["part"], F.get("_cues", x["part"]["pos"])
+        both = merging.bilingual(part["text"], x["translation"], settings.position, settings.translation_only)
+        content = F.when(cue["segmented"], F.concat(F.lit("<s>"), both, F.lit("</s>"))).otherwise(both)
+        content = F.coalesce(F.concat(content, cue["others"]), cue["raw"])  # a cue without text stays as it is
+        times = {"t": (part["start_ms"], X.leading_integer(srv3.attribute(cue, "t"), True)), "d": (part["dur_ms"], X.leading_integer(srv3.attribute(cue, "d")))}
+        changed = {k: F.when(~new.eqNullSafe(old), new.cast("string")) for k, (new, old) in times.items()}
+        made = F.when(part["text"].isNull(), cue["raw"]).otherwise(srv3.cue_element(cue, changed, dropped, content))
+        return F.concat(F.when(part["part_no"] == 0, F.get("_gaps", part["pos"])).otherwise(""), made)
+
+    pairs = F.arrays_zip(F.col("_parts").alias("part"), F.col("_translations").alias("translation"))
+    body = srv3.written(F.concat(F.array_join(F.transform(pairs, element), ""), F.element_at("_gaps", -1)))
+    out = df.withColumn("_made", body).withColumn("caption_mode", F.when(F.col("_made").isNotNull(), F.col("_mode")))
+    modified = F.coalesce("_made", "body")
+    out = out.select("track_id", "url", modified.alias("body"), "caption_mode", X.utf16_length(F.col("body")).alias("original_len"), X.utf16_length(modified).alias("modified_len"), F.coalesce(F.size(F.filter("_parts", lambda p: p["text"].isNotNull())), F.lit(0)).cast("long").alias("cues"))
+    return out.withColumn("headers", headers(F.col("caption_mode"), F.col("original_len"), F.col("modified_len")))

@@ -15,6 +15,7 @@ class Settings:
     retries: int = 3
     wait_s: float = 0.5
     max_width: int = 40
+    least_rows: int = 2
     max_encoded_length: int = 2400
     batch_rows: int = 120
     concurrency: int = 6

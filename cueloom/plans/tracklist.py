@@ -1,70 +1,157 @@
-"""Player metadata: caption tracks, audio tracks and translation languages. All rewrites are narrow projections."""
+"""Player metadata: caption tracks, audio tracks and translation languages, in JSON and protobuf bodies.
+
+JSON members are read as variants and put back where they were, so what isn't named here stays. All JSON rewrites are built-in
+expressions; each level of a body is parsed once.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NAME = "struct<simpleText:string,runs:array<struct<text:string>>>"
-SCHEMA = f"""captionTracks array<struct<baseUrl:string,name:{NAME},vssId:string,languageCode:string,kind:string,rtl:boolean,isTranslatable:boolean>>,
-audioTracks array<struct<captionTrackIndices:array<int>,defaultCaptionTrackIndex:int,forcedCaptionTrackIndex:int,visibility:int,hasDefaultTrack:boolean,hasForcedTrack:boolean,audioTrackId:string,captionsInitialState:int>>,
-translationLanguages array<struct<languageCode:string,languageName:{NAME}>>,
-defaultAudioTrackIndex int, defaultCaptionTrackIndex int"""
+from ..sources import protobuf
+from .languages import CODES, DESKTOP, MOBILE
 
 #: Hosts of mobile players, whose language names come as runs.
 MOBILE_HOSTS = ("m.youtube.com", "youtubei.googleapis.com")
-#: Service codes of languages by the player's codes, where they differ.
-SERVICE_CODES = {"ZH": "zh", "ZH-HANS": "zh-Hans", "ZH-HK": "zh-HK", "ZH-HANT": "zh-Hant", "EN": "en", "ES": "es", "FR": "fr", "DE": "de", "JA": "ja", "KO": "ko"}
+#: Where a track list is in the bodies of the player endpoint, and of the one that answers several requests.
+PLAYER, WATCH = ("captions", "playerCaptionsTracklistRenderer"), ("contents", 0, "playerResponse", "captions", "playerCaptionsTracklistRenderer")
+WATCH_PATH = "/youtubei/v1/get_watch"
+
+Change = Callable[[Column], Column]
+
+
+def _once(x: Column, f: Change) -> Column:
+    """f(x), with x computed once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def with_members(body: Column, changes: dict[str, Change]) -> Column:
+    """JSON text of an object with some members changed: a change gets a member as JSON text, null if it is absent, and gives
+    its new JSON text, null to leave it. Null if the text isn't an object."""
+
+    def made(m: Column) -> Column:
+        new = {k: F.try_parse_json(f(F.to_json(F.try_element_at(m, F.lit(k))))) for k, f in changes.items()}
+
+        def member(k: Column, v: Column) -> Column:
+            out = v
+            for name, value in new.items():
+                out = F.when(k == name, F.coalesce(value, v)).otherwise(out)
+            return out
+
+        added = F.map_filter(F.create_map(*(x for k, v in new.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull() & ~F.map_contains_key(m, k))
+        return F.to_json(F.map_concat(F.transform_values(m, member), added))
+
+    return _once(F.from_json(body, "map<string,variant>"), made)
+
+
+def with_elements(body: Column, change: Change) -> Column:
+    """JSON text of an array with each element's text changed."""
+    return _once(F.from_json(body, "array<variant>"), lambda a: F.to_json(F.transform(a, lambda x: F.try_parse_json(change(F.to_json(x))))))
+
+
+def _at(path: tuple, change: Change) -> Change:
+    """``change`` at a path of member names and array places, where there is something at it."""
+    if not path:
+        return lambda x: F.when(x.isNotNull() & (x != "null"), change(x))
+    inner, step = _at(path[1:], change), path[0]
+    if isinstance(step, str):
+        return lambda x: F.when(x.isNotNull(), with_members(x, {step: inner}))
+
+    def placed(x: Column) -> Column:
+        return _once(F.from_json(x, "array<variant>"), lambda a: F.to_json(F.transform(a, lambda v, i: F.when(i == step, F.coalesce(F.try_parse_json(inner(F.to_json(v))), v)).otherwise(v))))
+
+    return placed
+
+
+def _set(value: str) -> Change:
+    return lambda x: F.lit(value)
+
+
+def language_names(host: str) -> list[dict]:
+    """The language table as the host's player reads it."""
+    if host in MOBILE_HOSTS:
+        return [{"languageCode": k, "languageName": {"runs": [{"text": v}]}} for k, v in MOBILE.items()]
+    return [{"languageCode": k, "languageName": {"simpleText": v}} for k, v in DESKTOP.items()]
 
 
-def parsed(body: Column) -> Column:
-    return F.from_json(body, SCHEMA)
+def is_mobile(host: Column) -> Column:
+    return F.coalesce(host.isin(*MOBILE_HOSTS), F.lit(False))
 
 
-def languages(table: list[tuple[str, str]], host: Column) -> Column:
-    """The language table in the form that the host's player reads."""
-    none_text, none_runs = F.lit(None).cast("string"), F.lit(None).cast("array<struct<text:string>>")
+def with_all_captions(track_list: Column, host: Column) -> Column:
+    """A track list's JSON text: every track translatable, every audio track with visible captions on, the host's languages,
+    and a default track."""
+    dump = lambda h: F.lit(json.dumps(language_names(h), ensure_ascii=False))
+    audio = {"visibility": _set("2"), "hasDefaultTrack": _set("true"), "captionsInitialState": _set("3")}
+    return with_members(
+        track_list,
+        {
+            "captionTracks": lambda x: with_elements(x, lambda t: with_members(t, {"isTranslatable": _set("true")})),
+            "audioTracks": lambda x: with_elements(x, lambda t: with_members(t, audio)),
+            "translationLanguages": lambda x: F.when(is_mobile(host), dump(MOBILE_HOSTS[0])).otherwise(dump("")),
+            "defaultCaptionTrackIndex": lambda x: F.when(x.isNull() | x.isin("null", "0", '""', "false"), "0"),
+        },
+    )
 
-    def made(mobile: bool) -> Column:
-        names = [F.struct(F.lit(code).alias("languageCode"), F.struct((none_text if mobile else F.lit(name)).alias("simpleText"), (F.array(F.struct(F.lit(name).alias("text"))) if mobile else none_runs).alias("runs")).alias("languageName")) for code, name in table]
-        return F.array(*names)
 
-    return F.when(F.coalesce(host.isin(*MOBILE_HOSTS), F.lit(False)), made(True)).otherwise(made(False))
+def rewritten(df: DataFrame, body: str = "body", host: str = "host", path: str | None = None) -> DataFrame:
+    """The JSON bodies with captions turned on; a body without a track list stays as it is. ``path`` names a column with the
+    URL's path; without it, bodies are those of the player endpoint."""
+    change = lambda x: with_all_captions(x, F.col(host))
+    made = _at(PLAYER, change)(F.col(body))
+    there = F.get_json_object(body, "$." + ".".join(PLAYER)).isNotNull()
+    if path is not None:
+        watch = F.coalesce(F.col(path) == WATCH_PATH, F.lit(False))
+        made = F.when(watch, _at(WATCH, change)(F.col(body))).otherwise(made)
+        there = F.when(watch, F.get_json_object(body, "$.contents[0].playerResponse.captions.playerCaptionsTracklistRenderer").isNotNull()).otherwise(there)
+    return df.withColumn(body, F.when(there, F.coalesce(made, F.col(body))).otherwise(F.col(body)))
 
 
-def with_all_captions(t: Column, host: Column, table: list[tuple[str, str]]) -> Column:
-    """Every track translatable, every audio track with visible captions on, the host's languages, and a default track."""
-    t = t.withField("captionTracks", F.transform(t["captionTracks"], lambda c: c.withField("isTranslatable", F.lit(True))))
-    t = t.withField("audioTracks", F.transform(t["audioTracks"], lambda a: a.withField("visibility", F.lit(2)).withField("hasDefaultTrack", F.lit(True)).withField("captionsInitialState", F.lit(3))))
-    t = t.withField("translationLanguages", languages(table, host))
-    return t.withField("defaultCaptionTrackIndex", F.coalesce(t["defaultCaptionTrackIndex"], F.lit(0)))
+def _track_list(fields: list, host: str | None) -> list:
+    """The same for the fields of a protobuf track list; other fields stay."""
+    out = []
+    for number, wire, value in fields:
+        if number == 1:
+            value = protobuf.write(protobuf.with_int(protobuf.read(value), 7, 1))
+        elif number == 2:
+            track = protobuf.read(value)
+            for field, to in ((5, 2), (6, 1), (11, 3)):
+                track = protobuf.with_int(track, field, to)
+            value = protobuf.write(track)
+        if number != 3:
+            out.append((number, wire, value))
+    names = MOBILE if host in MOBILE_HOSTS else DESKTOP
+    out += [(3, protobuf.BYTES, protobuf.from_dict({"languageCode": k, "languageName": {"runs": [{"text": v}]}}, protobuf.LANGUAGE)) for k, v in names.items()]
+    return out if any(n == 6 and v for n, _, v in out) else protobuf.with_int(out, 6, 0)
 
 
-def rewritten(df: DataFrame, table: list[tuple[str, str]], body: str = "body", host: str = "host") -> DataFrame:
-    """The JSON bodies with captions turned on; a body that isn't a track list stays as it is."""
-    t = parsed(F.col(body))
-    ok = t["captionTracks"].isNotNull() | t["audioTracks"].isNotNull()
-    return df.withColumn(body, F.when(F.coalesce(ok, F.lit(False)), F.to_json(with_all_captions(t, F.col(host), table))).otherwise(F.col(body)))
+def binary_rewritten(df: DataFrame, body: str = "body", host: str = "host", watch: bool = False) -> DataFrame:
+    """The same for protobuf bodies of the player endpoint, or of the one that answers several requests."""
+    path = [10, 51621377]
+    return df.withColumn(body, protobuf.changed(F.col(body), [1, 2, *path] if watch else path, _track_list, F.col(host)))
 
 
-REQUEST = "playbackContext struct<contentPlaybackContext:struct<autoCaptionsDefaultOn:boolean,id4:int,id6:int,id8:int,id9:int>>"
+def requests_with_captions(body: Column) -> Column:
+    """A request's JSON text with captions on by default where it has a playback context; else as it is."""
+    change = lambda x: with_members(x, {"autoCaptionsDefaultOn": _set("true")})
+    return F.coalesce(_at(("playbackContext", "contentPlaybackContext"), change)(body), body)
 
 
-def requests_with_captions(r: Column) -> Column:
-    """Turns captions on by default where the request has a playback context."""
-    c = r["playbackContext"]["contentPlaybackContext"]
-    return F.when(c.isNotNull(), r.withField("playbackContext.contentPlaybackContext", c.withField("autoCaptionsDefaultOn", F.lit(True)))).otherwise(r)
+def _flags(fields: list) -> list:
+    for number in (4, 6, 8, 9):
+        fields = protobuf.with_int(fields, number, 1)
+    return fields
 
 
-def binary_requests_with_captions(r: Column) -> Column:
-    """The same for requests that number their flags."""
-    c = r["playbackContext"]["contentPlaybackContext"]
-    out = c
-    for name in ("id4", "id6", "id8", "id9"):
-        out = out.withField(name, F.lit(1))
-    return F.when(c.isNotNull(), r.withField("playbackContext.contentPlaybackContext", out)).otherwise(r)
+def binary_requests_with_captions(body: Column) -> Column:
+    """The same for protobuf requests, which number their flags."""
+    return protobuf.changed(body, [4, 1], _flags)
 
 
 def service_code(code: Column) -> Column:
-    table = F.create_map(*(x for k, v in SERVICE_CODES.items() for x in (F.lit(k), F.lit(v))))
+    table = F.create_map(*(x for k, v in CODES.items() for x in (F.lit(k), F.lit(v))))
     return F.coalesce(F.try_element_at(table, F.upper(code)), code)
