@@ -11,17 +11,19 @@ n_chars**2 / 2**65.
 
 ``fingerprints`` needs no shuffle. ``with_next`` pairs each row with the next one by (id, text hash), the last with the
 first: rows are dealt to ranges of ids once, each range also gets the first row of the next, and a sorted stream is read
-once, so a task holds two texts. Null ids come first. Rows of one id stay in one range.
+once, so a task holds two texts. Null ids come first. An id of very many rows is dealt to several ranges by its texts; only
+equal rows stay together.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_session, documents, frugal, per_text
@@ -146,19 +148,46 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     return per_text(df, lambda: lambda texts: {"fingerprint": [as_hex(fingerprint(t or "")) for t in texts]}, "fingerprint string", text, raw=False)
 
 
+#: The place of null ids, before all others.
+LEAST = -(1 << 63)
+
+
+def _bounds(rows: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """Bounds of about ``ranges`` even ranges of (k, tie), by quantiles of k, and inside a k that has more rows than two
+    ranges should, by even steps of its ties. The driver gets two lines a range at most."""
+    n, cuts = rows.agg(F.count("*"), F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()
+    if not n:
+        return []
+    hot = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > max(1, 2 * n // ranges)).collect()
+    inside = {(k, LEAST + i * (1 << 64) // parts) for k, m in hot for parts in [-(-m * ranges // n)] for i in range(parts)}
+    return sorted({(c, LEAST) for c in cuts} | inside | {(k + 1, LEAST) for k, _ in hot})
+
+
+def _range_of(bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds are at most (k, tie), found in two steps of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    here = F.struct("k", "tie")
+    table = F.array(*(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(tie).alias("tie")) for k, tie in bounds[i : i + step])) for i in range(0, len(bounds), step)))
+    group = F.size(F.filter(table, lambda g: F.get(g, 0) <= here))
+    return F.when(group == 0, 0).otherwise((group - 1) * step + F.size(F.filter(F.get(table, group - 1), lambda b: b <= here)))
+
+
 def with_next(df: DataFrame, function, schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``function`` turns an iterator of (id, text, next row's text) into an iterator of result tuples for ``schema``."""
     spark = df.sparkSession
     arrow_session(spark)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("k"))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, cuts = rows.agg(F.min("k"), F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()
-    cuts = sorted({c for c in cuts or () if c > low})
-    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    own = F.size(F.filter(bounds, lambda b: b <= F.col("k")))
-    heads = F.when(F.col("k") == (low if low is not None else 0), F.array(F.struct(F.lit(len(cuts)).alias("range"), F.lit(1).alias("ahead")))).when(F.array_contains(bounds, F.col("k")), F.array(F.struct((own - 1).alias("range"), F.lit(1).alias("ahead")))).otherwise(F.array().cast("array<struct<range:int,ahead:int>>"))
-    dealt = rows.select("doc_id", "text", "k", F.explode(F.concat(F.array(F.struct(own.alias("range"), F.lit(0).alias("ahead"))), heads)).alias("to"))
-    dealt = dealt.select("to.range", "to.ahead", "k", F.xxhash64("text").alias("tie"), "doc_id", "text").repartition("range").sortWithinPartitions("range", "ahead", "k", "tie")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)).alias("k"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    own = _range_of(_bounds(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # a line for each range: its first row goes to the range before, that of the first range to the last
+    first = sorted(tuple(r) for r in rows.groupBy(own.alias("range")).agg(F.min(F.struct("k", "tie")).alias("m")).select("range", "m.k", "m.tie").collect())
+    places = [F.struct(F.lit(k).alias("k"), F.lit(tie).alias("tie"), F.lit(first[i - 1][0]).alias("to")) for i, (_, k, tie) in enumerate(first)]
+    head = F.element_at(F.create_map(*(x for (r, _, _), place in zip(first, places, strict=True) for x in (F.lit(r), place))), own) if first else F.lit(None).cast("struct<k:bigint,tie:bigint,to:int>")
+    heads = F.when((head["k"] == F.col("k")) & (head["tie"] == F.col("tie")), F.array(F.struct(head["to"].alias("range"), F.lit(1).alias("ahead")))).otherwise(F.array().cast("array<struct<range:int,ahead:int>>"))
+    dealt = rows.select("doc_id", "text", "k", "tie", F.explode(F.concat(F.array(F.struct(own.alias("range"), F.lit(0).alias("ahead"))), heads)).alias("to"))
+    dealt = dealt.select("to.range", "to.ahead", "k", "tie", "doc_id", "text").repartition("range").sortWithinPartitions("range", "ahead", "k", "tie")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None
