@@ -9,7 +9,7 @@ every source be taken once as a whole, so that nothing is left out.
 Weights become rows in block permutations. A source's part of the budget is so many whole passes (epochs) and a rest. Its
 rows are dealt to blocks of about ``BLOCK_ROWS`` by a hash of the id; in each epoch the blocks are ordered by one hash and
 the rows in a block by another, and the last epoch takes rows in this order while they fit the rest. The cut is found from
-sums of blocks and then inside the one block that it falls into, so no task orders a source; what a row needs from its
+sums of stretches of blocks, of the blocks of one stretch, and then inside one block, so no task orders a source; what a row needs from its
 source is one line, which is broadcast up to ``BROADCAST_SOURCES`` sources and otherwise joined with salted keys.
 
 Null sources are one source, ``(none)``. Null texts have no tokens, and rows without tokens come along with each epoch
@@ -101,8 +101,15 @@ def plan(df: DataFrame, repetition: float | None = REPETITION, entropy: float |
     made = stored(made.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS)).withColumn("exponent", F.lit(tau)), "weights")
     n = made.count()
     placed = _with_sources(rows, made.where("rest > 0").select("_source", "blocks", "epochs", "rest"), n).select("*", *_place())
-    sums = placed.groupBy("_source", "rest", "block_key", "block").agg(F.sum("_tokens").alias("sum"))
-    running = sums.withColumn("upto", F.sum("sum").over(W.partitionBy("_source").orderBy("block_key", "block").rowsBetween(W.unboundedPreceding, 0)))
+    sums = stored(placed.groupBy("_source", "rest", "block_key", "block").agg(F.sum("_tokens").alias("sum")), "blocks")
+    # the cut's stretch of block keys first, then its block: a window sees at most 4096 stretches, or one stretch's blocks
+    stretch = F.shiftright("block_key", 48)
+    whole = sums.groupBy("_source", "rest", stretch.alias("stretch")).agg(F.sum("sum").alias("sum"))
+    whole = whole.withColumn("upto", F.sum("sum").over(W.partitionBy("_source").orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)))
+    part = whole.where("upto - sum <= rest and rest < upto").groupBy("_source").agg(F.min(F.struct("stretch", (F.col("upto") - F.col("sum")).alias("before"))).alias("m")).select("_source", F.col("m.stretch").alias("stretch"), F.col("m.before").alias("before"))
+    near = F.broadcast if n <= BROADCAST_SOURCES else lambda x: x
+    blocks = sums.withColumn("stretch", stretch).join(near(part), ["_source", "stretch"])
+    running = blocks.withColumn("upto", F.col("before") + F.sum("sum").over(W.partitionBy("_source").orderBy("block_key", "block").rowsBetween(W.unboundedPreceding, 0)))
     edge = stored(running.where("upto - sum <= rest and rest < upto").groupBy("_source").agg(F.min(F.struct("block_key", "block", (F.col("rest") - F.col("upto") + F.col("sum")).alias("room"))).alias("edge")).select("_source", "edge.*"), "edges")
     inside = placed.join(F.broadcast(edge) if n <= BROADCAST_SOURCES else edge, ["_source", "block_key", "block"])
     order = W.partitionBy("_source").orderBy("row_key", "_id").rangeBetween(W.unboundedPreceding, W.currentRow)
