@@ -508,21 +508,22 @@ def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def media_digests(df: DataFrame, text: str = "text") -> DataFrame:
-    """Stores each text, reads the stored bytes back, and appends digests of both and a feature of the RGB tensor."""
+    """Stores each text, reads the stored bytes back, and appends digests of both, the RGB tensor (row-major height x width x
+    3 samples) and a feature of it."""
 
     def one(t: bytes) -> tuple:
         media = encode(padded(t))
         image = decode(media)
-        back = payload_of(image)
-        return len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(image.rgb())
+        back, rgb = payload_of(image), image.rgb()
+        return len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb), rgb.shape[0], rgb.shape[1], rgb.tobytes()
 
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb")
 
     def run(texts: list[bytes]) -> dict:
         made = [one(t) for t in texts]
         return {k: [m[i] for m in made] for i, k in enumerate(names)}
 
-    return per_text(df, lambda: run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", text)
+    return per_text(df, lambda: run, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary", text)
 
 
 def op1_media_jpeg(spark, sf_dir):
