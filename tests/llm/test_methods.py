@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cueloom.llm import language_id, license_texts, licenses, mixing, ngram_join, order_minhash, pii, toxicity
+from cueloom.llm import components, language_id, license_texts, licenses, mixing, ngram_join, order_minhash, pii, toxicity
 from cueloom.llm import progressive_jpeg as jpeg
 
 SF = "/root/testdata/sf0.001"
@@ -482,3 +482,28 @@ def test_mixing_takes_what_a_plain_order_takes(spark):
             assert taken[x.doc_id] == p.epochs + (p.rest > 0 and total <= p.rest), (name, x.doc_id)
 
 
+
+
+# --- Components -----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("part", [5, 40, 10_000])
+def test_components_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART_EDGES", part)
+    r = random.Random(part)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(60)] + [(200, 200 + i) for i in range(1, 30)] + [(300 + i, 301 + i) for i in range(25)] + [(-5, 7), (7, -5), (8, 8)]
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    got = {x.node: x.root for x in components.components(df).collect()}
+    alone = {i for i in parent if find(i) == i and sum(find(j) == i for j in parent) == 1}
+    assert got == {i: find(i) for i in parent if i not in alone}
+    assert components.components(df.limit(0)).collect() == []
