@@ -16,14 +16,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows in an Arrow batch, and bytes of text that a function is given at once.
 BATCH_ROWS = 1000
 SLICE_BYTES = 1 << 20
-#: Bytes of an Arrow batch, and of a Parquet row group, which a writer holds in memory.
-BATCH_BYTES, GROUP_BYTES = 8 << 20, 16 << 20
+#: Bytes of an Arrow batch, of a Parquet row group, which a writer holds in memory, and rows of a batch that is read.
+BATCH_BYTES, GROUP_BYTES, READ_ROWS = 1 << 20, 16 << 20, 512
 
 
 def arrow_session(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as texts can be long. The setting is read when a query runs, so it stays set."""
+    """Keep batches small, as texts can be long. The settings are read when a query runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
