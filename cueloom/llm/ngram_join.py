@@ -501,7 +501,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     about = groups.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("ham").alias("radius"))
     about = about.join(nodes.select(F.col("sig").alias("g"), "bits"), "g")
     # bundles: groups that meet in a list and can't be kept apart
-    met = lists.select("h", "sig").join(groups.select("sig", "g"), "sig").select("h", "g").distinct()
+    met = stored(lists.select("h", "sig").join(groups.select("sig", "g"), "sig").select("h", "g").distinct(), "met")
     # lists of the same groups tell the same: one of them stays
     shape = met.groupBy("h").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")).where("k > 1")
     several = shape.groupBy("k", "x", "y").agg(F.min("h").alias("h")).select("h", "k")
