@@ -171,6 +171,7 @@ def queries() -> dict:
         "json_path_get": lambda s, d: events(s, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
         "bounded_cache": lambda s, d: state.bounded_cache(events(s, d), "user_id", "event_type", "event_id").select("user_id", "first_seen", "value"),
         "sticky_language": lambda s, d: docs(s, d).select("doc_id", "source", F.when(F.col("doc_id") % 5 == 0, F.col("lang")).alias("tlang")).select("doc_id", state.sticky("tlang", "doc_id", "source").alias("tlang")),
+        "sticky_over_all": lambda s, d: state.sticky_over_all(docs(s, d).select("doc_id", F.when(F.col("doc_id") % 7 == 3, F.col("lang")).alias("seen")), "seen", "doc_id", "tlang").select("doc_id", "tlang"),
         "recovering_batch_map": recovering_batch_map,
     } | document_queries.queries()
 
@@ -219,5 +220,6 @@ SELECT track_id, pos, batch_no FROM b""",
         "json_path_get": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
         "bounded_cache": "SELECT user_id, min(event_id) AS first_seen, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id ORDER BY first_seen DESC, user_id DESC LIMIT 50",
         "sticky_language": "SELECT doc_id, last_value(CASE WHEN doc_id % 5 = 0 THEN lang END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS tlang FROM documents",
+        "sticky_over_all": "SELECT doc_id, last_value(CASE WHEN doc_id % 7 = 3 THEN lang END IGNORE NULLS) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS tlang FROM documents",
         "recovering_batch_map": "SELECT conv_id AS track_id, turn AS pos, 'T: ' || text AS translation FROM conversations",
     }

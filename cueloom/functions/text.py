@@ -1,4 +1,4 @@
-"""Column functions on caption text. All are built-in expressions, so they stay inside code generation."""
+"""Column functions on caption text. All are built-in expressions and need no Python worker."""
 
 from __future__ import annotations
 

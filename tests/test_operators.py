@@ -99,4 +99,8 @@ def test_translator_recovery():
 def test_state(spark):
     df = spark.createDataFrame([(i, f"k{i % 4}", f"v{i}" if i % 3 else None) for i in range(10)], "i int, k string, v string")
     assert [(x.k, x.first_seen) for x in state.bounded_cache(df, "k", "v", "i", 2).collect()] == [("k3", 3), ("k2", 2)]
-    assert [x[1] for x in df.select("i", state.sticky("v", "i")).orderBy("i").collect()] == [None, "v1", "v2", "v2", "v4", "v5", "v5", "v7", "v8", "v8"]
+    want = [None, "v1", "v2", "v2", "v4", "v5", "v5", "v7", "v8", "v8"]
+    assert [x[1] for x in df.select("i", state.sticky("v", "i", F.lit(1))).orderBy("i").collect()] == want
+    for ranges in (1, 3, 200):
+        got = state.sticky_over_all(df.repartition(3), "v", "i", "last", ranges).orderBy("i").collect()
+        assert [x["last"] for x in got] == want and got[0].asDict().keys() == {"i", "k", "v", "last"}
