@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import urls
+from .functions.members import with_path, without_path
 from .operators import merging, ordered
-from .plans import tracklist
+from .plans import settings, tracklist
 from .plans.rewrite import parsed, rewrite
 from .plans.settings import Settings
 from .sources import protobuf, store, xml_tree
@@ -150,6 +151,29 @@ def property_lists(spark, d):
     return e.select("event_id", F.get_json_object(store.plist_to_json(store.json_to_plist("props")), "$.k").cast("long").alias("k"))
 
 
+def stored_paths(spark, d):
+    """Objects of a store with a path set, one taken out, and read back."""
+    e = _read(spark, d, "events").select("event_id", F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"), F.col("props").alias("value"))
+    value = without_path(with_path(F.col("value"), ["a", "b"], '"5"'), ["k"])
+    out = e.select("event_id", F.col("value").alias("before"), value.alias("value"))
+    return out.select("event_id", F.get_json_object("value", "$.a.b").alias("b"), F.get_json_object("value", "$.k").alias("k"), F.get_json_object("before", "$.k").alias("before"))
+
+
+def service_codes(spark, d):
+    codes = ["zh-TW", "EN", "en-us sdh", "NO", "zh-Hans", "pt-br", "xx", "ZH-HK"]
+    return _read(spark, d, "nation").select("n_nationkey", F.explode(_literals(codes)).alias("code")).select("n_nationkey", "code", tracklist.service_code(F.col("code")).alias("service"))
+
+
+def layered_settings(spark, d):
+    """Settings of each nation: defaults, arguments and stored ones in layers, strings coerced."""
+    made = []
+    for key, name in sorted(tuple(r) for r in _read(spark, d, "nation").select("n_nationkey", "n_name").collect()):
+        stored = {"Types": "Official,Translate"} if key % 2 else {}
+        got = settings.layered({"Type": "Official", "Show": "false", "Size": "50"}, settings.argument_map(f'Type="{name}"&Size={key}'), stored, {"Show": "true"} if key % 3 == 0 else {})
+        made.append((key, str(got["Type"]), int(got["Size"]), bool(got["Show"]), list(got.get("Types", []))))
+    return spark.createDataFrame(made, "n_nationkey long, type string, size long, show boolean, types array<string>").select("n_nationkey", "type", "size", "show", F.array_join("types", "|").alias("types"))
+
+
 # --- Captions -------------------------------------------------------------------------------------------------------
 
 
@@ -191,6 +215,12 @@ def translated_rows(spark, d):
     return out.select("conv_id", F.explode(F.arrays_zip(F.col("rows.turn").alias("turn"), F.col("t").alias("translation"))).alias("x")).select("conv_id", "x.turn", "x.translation")
 
 
+def bodies_passed_through(spark, d):
+    """Pages aren't timed text: they come out as they went in, without a mode."""
+    pages = _read(spark, d, "pages").select(F.col("page_id").cast("string").alias("track_id"), "url", F.col("html").alias("body"))
+    return rewrite(pages).select("track_id", "body", "caption_mode", F.col("headers").isNull().alias("bare"), "cues")
+
+
 def caption_rewrite(spark, d):
     """Conversations as timed-text documents, rewritten; every second one has automatic captions."""
     p = _json('<p t="', (F.col("turn") * 2000).cast("string"), '" d="', (F.length("text") * 20).cast("string"), '" x="', F.col("role"), '">', X.escape_xml(F.col("text")), "</p>")
@@ -204,7 +234,7 @@ def caption_rewrite(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (route_rules, subtype_requests, browse_pages, tracklist_flags, tracklist_binary, request_flags, xml_tree_values, property_lists, caption_modes, roll_up_removed, translated_rows, caption_rewrite)}
+    return {f.__name__: f for f in (route_rules, subtype_requests, browse_pages, tracklist_flags, tracklist_binary, request_flags, xml_tree_values, property_lists, caption_modes, roll_up_removed, translated_rows, stored_paths, service_codes, layered_settings, bodies_passed_through, caption_rewrite)}
 
 
 # --- The same in SQL ------------------------------------------------------------------------------------------------
@@ -248,6 +278,10 @@ SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS video, CASE WHEN has THEN tr
 u AS (SELECT *, 'https://www.youtube.com/api/timedtext?name=' || CASE WHEN conv_id % 7 = 0 THEN 'English%20%EF%BC%A3%EF%BC%A3%EF%BC%91' ELSE 'English' END || CASE conv_id % 5 WHEN 0 THEN '&kind=asr' WHEN 1 THEN '&kind=asr2&a=kind%3Dasr' ELSE '' END AS url FROM d)
 SELECT conv_id, body, url, regexp_matches(url, '[?&]kind=asr(&|$)') AS automatic, CASE WHEN regexp_matches(url, '[?&]kind=asr(&|$)') THEN 'automatic' WHEN contains(url, '%EF%BC%91') OR (contains(body, '<w ') AND regexp_matches(body, '<p[^>]* [wa]=')) THEN 'broadcast' ELSE 'official' END AS mode FROM u""",
         "roll_up_removed": "SELECT conv_id, CASE WHEN conv_id % 3 > 0 THEN count(*) ELSE 0 END AS cues, false AS refers, CASE WHEN conv_id % 3 > 0 THEN CAST(sum(turn) AS BIGINT) ELSE 0 END AS positions FROM conversations GROUP BY conv_id",
+        "stored_paths": "SELECT event_id, '5' AS b, CAST(NULL AS VARCHAR) AS k, json_extract_string(props, '$.k') AS before FROM events",
+        "service_codes": "SELECT n_nationkey, code, service FROM nation, (VALUES ('zh-TW', 'zh-TW'), ('EN', 'en'), ('en-us sdh', 'en-US SDH'), ('NO', 'nb-NO'), ('zh-Hans', 'zh-Hans'), ('pt-br', 'pt-BR'), ('xx', 'xx'), ('ZH-HK', 'zh-Hant-HK')) AS t(code, service)",
+        "layered_settings": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS type, CAST(n_nationkey AS BIGINT) AS size, n_nationkey % 3 = 0 AS show, CASE WHEN n_nationkey % 2 = 1 THEN 'Official|Translate' ELSE '' END AS types FROM nation",
+        "bodies_passed_through": "SELECT CAST(page_id AS VARCHAR) AS track_id, html AS body, CAST(NULL AS VARCHAR) AS caption_mode, true AS bare, CAST(0 AS BIGINT) AS cues FROM pages",
         "translated_rows": "SELECT conv_id, turn, 'T: ' || text AS translation FROM conversations",
         "caption_rewrite": _rewrite_sql(slices, escape),
     }

@@ -7,11 +7,11 @@ expressions; each level of a body is parsed once.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.members import at_path, constant, with_elements, with_members
 from ..sources import protobuf
 from .languages import CODES, DESKTOP, MOBILE
 
@@ -21,56 +21,6 @@ MOBILE_HOSTS = ("m.youtube.com", "youtubei.googleapis.com")
 PLAYER, WATCH = ("captions", "playerCaptionsTracklistRenderer"), ("contents", 0, "playerResponse", "captions", "playerCaptionsTracklistRenderer")
 WATCH_PATH = "/youtubei/v1/get_watch"
 
-Change = Callable[[Column], Column]
-
-
-def _once(x: Column, f: Change) -> Column:
-    """f(x), with x computed once."""
-    return F.get(F.transform(F.array(x), f), 0)
-
-
-def with_members(body: Column, changes: dict[str, Change]) -> Column:
-    """JSON text of an object with some members changed: a change gets a member as JSON text, null if it is absent, and gives
-    its new JSON text, null to leave it. Null if the text isn't an object."""
-
-    def made(m: Column) -> Column:
-        new = {k: F.try_parse_json(f(F.to_json(F.try_element_at(m, F.lit(k))))) for k, f in changes.items()}
-
-        def member(k: Column, v: Column) -> Column:
-            out = v
-            for name, value in new.items():
-                out = F.when(k == name, F.coalesce(value, v)).otherwise(out)
-            return out
-
-        added = F.map_filter(F.create_map(*(x for k, v in new.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull() & ~F.map_contains_key(m, k))
-        return F.to_json(F.map_concat(F.transform_values(m, member), added))
-
-    return _once(F.from_json(body, "map<string,variant>"), made)
-
-
-def with_elements(body: Column, change: Change) -> Column:
-    """JSON text of an array with each element's text changed."""
-    return _once(F.from_json(body, "array<variant>"), lambda a: F.to_json(F.transform(a, lambda x: F.try_parse_json(change(F.to_json(x))))))
-
-
-def _at(path: tuple, change: Change) -> Change:
-    """``change`` at a path of member names and array places, where there is something at it."""
-    if not path:
-        return lambda x: F.when(x.isNotNull() & (x != "null"), change(x))
-    inner, step = _at(path[1:], change), path[0]
-    if isinstance(step, str):
-        return lambda x: F.when(x.isNotNull(), with_members(x, {step: inner}))
-
-    def placed(x: Column) -> Column:
-        return _once(F.from_json(x, "array<variant>"), lambda a: F.to_json(F.transform(a, lambda v, i: F.when(i == step, F.coalesce(F.try_parse_json(inner(F.to_json(v))), v)).otherwise(v))))
-
-    return placed
-
-
-def _set(value: str) -> Change:
-    return lambda x: F.lit(value)
-
-
 def language_names(host: str) -> list[dict]:
     """The language table as the host's player reads it."""
     if host in MOBILE_HOSTS:
@@ -86,11 +36,11 @@ def with_all_captions(track_list: Column, host: Column) -> Column:
     """A track list's JSON text: every track translatable, every audio track with visible captions on, the host's languages,
     and a default track."""
     dump = lambda h: F.lit(json.dumps(language_names(h), ensure_ascii=False))
-    audio = {"visibility": _set("2"), "hasDefaultTrack": _set("true"), "captionsInitialState": _set("3")}
+    audio = {"visibility": constant("2"), "hasDefaultTrack": constant("true"), "captionsInitialState": constant("3")}
     return with_members(
         track_list,
         {
-            "captionTracks": lambda x: with_elements(x, lambda t: with_members(t, {"isTranslatable": _set("true")})),
+            "captionTracks": lambda x: with_elements(x, lambda t: with_members(t, {"isTranslatable": constant("true")})),
             "audioTracks": lambda x: with_elements(x, lambda t: with_members(t, audio)),
             "translationLanguages": lambda x: F.when(is_mobile(host), dump(MOBILE_HOSTS[0])).otherwise(dump("")),
             "defaultCaptionTrackIndex": lambda x: F.when(x.isNull() | x.isin("null", "0", '""', "false"), "0"),
@@ -102,11 +52,11 @@ def rewritten(df: DataFrame, body: str = "body", host: str = "host", path: str |
     """The JSON bodies with captions turned on; a body without a track list stays as it is. ``path`` names a column with the
     URL's path; without it, bodies are those of the player endpoint."""
     change = lambda x: with_all_captions(x, F.col(host))
-    made = _at(PLAYER, change)(F.col(body))
+    made = at_path(PLAYER, change)(F.col(body))
     there = F.get_json_object(body, "$." + ".".join(PLAYER)).isNotNull()
     if path is not None:
         watch = F.coalesce(F.col(path) == WATCH_PATH, F.lit(False))
-        made = F.when(watch, _at(WATCH, change)(F.col(body))).otherwise(made)
+        made = F.when(watch, at_path(WATCH, change)(F.col(body))).otherwise(made)
         there = F.when(watch, F.get_json_object(body, "$.contents[0].playerResponse.captions.playerCaptionsTracklistRenderer").isNotNull()).otherwise(there)
     return df.withColumn(body, F.when(there, F.coalesce(made, F.col(body))).otherwise(F.col(body)))
 
@@ -137,8 +87,8 @@ def binary_rewritten(df: DataFrame, body: str = "body", host: str = "host", watc
 
 def requests_with_captions(body: Column) -> Column:
     """A request's JSON text with captions on by default where it has a playback context; else as it is."""
-    change = lambda x: with_members(x, {"autoCaptionsDefaultOn": _set("true")})
-    return F.coalesce(_at(("playbackContext", "contentPlaybackContext"), change)(body), body)
+    change = lambda x: with_members(x, {"autoCaptionsDefaultOn": constant("true")})
+    return F.coalesce(at_path(("playbackContext", "contentPlaybackContext"), change)(body), body)
 
 
 def _flags(fields: list) -> list:

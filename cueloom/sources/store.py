@@ -4,29 +4,42 @@ from __future__ import annotations
 
 import json
 import plistlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.members import with_path, without_path
+
+
+def _path(key: str) -> tuple[str, list[str]]:
+    name, _, path = key.removeprefix("@").partition(".") if key.startswith("@") else (key, "", "")
+    return name, path.split(".") if path else []
+
 
 def get_item(store: DataFrame, key: str) -> Column:
     """Expression over (key, value): the value of ``key``, or of a path in it for ``@key.path``."""
-    if not key.startswith("@"):
-        return F.when(F.col("key") == key, F.col("value"))
-    name, _, path = key[1:].partition(".")
-    return F.when(F.col("key") == name, F.get_json_object("value", f"$.{path}") if path else F.col("value"))
+    name, path = _path(key)
+    return F.when(F.col("key") == name, F.get_json_object("value", "$." + ".".join(path)) if path else F.col("value"))
+
+
+def _changed(store: DataFrame, key: str, change: Callable[[Column], Column]) -> DataFrame:
+    one = store.sparkSession.createDataFrame([(key,)], "key string").join(store, "key", "left")
+    return store.where(F.col("key") != key).unionByName(one.select("key", change(F.col("value")).alias("value")))
 
 
 def set_item(store: DataFrame, key: str, value: str) -> DataFrame:
-    """The table with one value put in."""
-    spark = store.sparkSession
-    return store.where(F.col("key") != key).unionByName(spark.createDataFrame([(key, value)], "key string, value string"))
+    """The table with one value put in, for ``@key.path`` as a string at that path of the key's object."""
+    name, path = _path(key)
+    return _changed(store, name, lambda old: with_path(F.coalesce(old, F.lit("{}")), path, json.dumps(value)) if path else F.lit(value))
 
 
 def remove_item(store: DataFrame, key: str) -> DataFrame:
-    return store.where(F.col("key") != key)
+    """The table without a key, or for ``@key.path`` with that path taken out of the key's object."""
+    name, path = _path(key)
+    return _changed(store, name, lambda old: without_path(F.coalesce(old, F.lit("{}")), path)) if path else store.where(F.col("key") != name)
 
 
 def clear(store: DataFrame) -> DataFrame:

@@ -217,6 +217,9 @@ def test_settings():
 def test_store_and_property_lists(spark):
     s = store.set_item(spark.createDataFrame([("k", '{"a":{"b":3}}')], "key string, value string"), "z", "1")
     assert s.select(F.max(store.get_item(s, "@k.a.b"))).first()[0] == "3" and store.remove_item(s, "k").count() == 1 and store.clear(s).count() == 0
+    s = store.remove_item(store.set_item(store.set_item(s, "@k.a.c.d", "7"), "@new.x", "é"), "@k.a.b")
+    assert {r.key: json.loads(r.value) for r in s.collect()} == {"k": {"a": {"c": {"d": "7"}}}, "z": 1, "new": {"x": "é"}}
+    assert s.select(F.max(store.get_item(s, "@k.a.c.d"))).first()[0] == "7" and json.loads(store.set_item(s, "@z.y", "1").where("key = 'z'").first().value) == {"y": "1"}
     df = spark.createDataFrame([('{"a":[1,true,"x"]}',)], "j string")
     assert json.loads(df.select(store.plist_to_json(store.json_to_plist("j"))).first()[0]) == {"a": [1, True, "x"]}
     assert spark.createDataFrame([("<no",)], "j string").select(store.plist_to_json("j")).first()[0] is None
