@@ -160,7 +160,7 @@ def _bounds(rows: DataFrame, ranges: int) -> list[tuple[int, int]]:
         return []
     hot = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > max(1, 2 * n // ranges)).collect()
     inside = {(k, LEAST + i * (1 << 64) // parts) for k, m in hot for parts in [-(-m * ranges // n)] for i in range(parts)}
-    return sorted({(c, LEAST) for c in cuts} | inside | {(k + 1, LEAST) for k, _ in hot})
+    return sorted({(c, LEAST) for c in cuts} | inside | {(k + 1, LEAST) for k, _ in hot if k < -(LEAST + 1)})
 
 
 def _range_of(bounds: list[tuple[int, int]]) -> Column:
