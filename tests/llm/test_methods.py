@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cueloom.llm import components, language_id, license_texts, licenses, mixing, ngram_join, order_minhash, pii, toxicity
+from cueloom.llm import bpe, components, language_id, license_texts, licenses, mixing, ngram_join, order_minhash, pii, toxicity
 from cueloom.llm import progressive_jpeg as jpeg
 
 SF = "/root/testdata/sf0.001"
@@ -507,3 +507,25 @@ def test_components_in_parts(spark, monkeypatch, part):
     alone = {i for i in parent if find(i) == i and sum(find(j) == i for j in parent) == 1}
     assert got == {i: find(i) for i in parent if i not in alone}
     assert components.components(df.limit(0)).collect() == []
+
+
+# --- 9 --------------------------------------------------------------------------------------------------------------
+
+
+def test_decoding_is_the_library_s():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.tokenizer_path(bpe.TOKENIZER)
+    library, own = tokenizers.Tokenizer.from_file(path), bpe.Bpe(path)
+    r = random.Random(9)
+    texts = ["", "plain words, and more.", "é日本 😀\n\n  x", "<|endoftext|> in a text", "a" * 5000] + ["".join(r.choice("ab é日😀\t<|'s.") for _ in range(80)) for _ in range(200)]
+    ids = own.encode(texts)
+    assert ids == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    cut = [x[: r.randint(0, len(x))] for x in ids]  # cuts inside characters too
+    assert [own.decode(x) for x in [*ids, *cut]] == [library.decode(x, skip_special_tokens=False) for x in [*ids, *cut]]
+    many = [f"w{i} x{i * 7}" for i in range(3000)]
+    small = bpe.MEMORY_PIECES
+    try:
+        bpe.MEMORY_PIECES = 500  # what is remembered is dropped in between
+        assert [i for a in range(0, 3000, 300) for i in own.encode(many[a : a + 300])] == [e.ids for e in library.encode_batch(many, add_special_tokens=False)]
+    finally:
+        bpe.MEMORY_PIECES = small
