@@ -16,6 +16,8 @@ from cueloom.llm.common import fresh, stored
 
 #: A label is replaced where the prediction differs and its score is at least this.
 RELABEL = 0.98
+#: Parts of a class of near duplicates, where there are too many classes to broadcast a line each.
+SALTS = 64
 
 
 def quoted(docs: DataFrame) -> list[str]:
@@ -36,6 +38,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("lang", F.when(known, F.col(pred)).otherwise(F.col("lang"))).select(*quoted(docs))
 
 
+def _with_class(pairs: DataFrame, best: DataFrame) -> DataFrame:
+    """Joins a class's one line to its pairs. A class may hold a third of all pairs, and so may those without one: up to a
+    fixed number the lines are broadcast, beyond it they are repeated for each of ``SALTS`` parts of a class."""
+    if best.count() <= ngram_join.BROADCAST_SETS:
+        return pairs.join(F.broadcast(best), "class_id", "left")
+    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = pairs.where("class_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)).cast("int"))
+    some = some.join(salted, ["class_id", "salt"], "left").drop("salt")
+    return some.unionByName(pairs.where("class_id is null"), allowMissingColumns=True)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates: that of least id, and of different texts with one id, that with
     the least hash of the text. Of rows repeated with one id and text, one stays, whatever their other columns.
@@ -49,7 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     pairs = found.groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.max("class_id").alias("class_id"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     best = pairs.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("pairs"), F.min(order).alias("best")).where("pairs > 1")
-    judged = pairs.join(best, "class_id", "left").withColumn("kept", F.col("best").isNull() | order.eqNullSafe(F.col("best")))
+    judged = _with_class(pairs, stored(best.select("class_id", "best"), "best")).withColumn("kept", F.col("best").isNull() | order.eqNullSafe(F.col("best")))
     ids = stored(judged.where("not kept or rows > 1").select("doc_id", "mark", "kept"), "ids")
     near = F.broadcast if ids.count() <= ngram_join.BROADCAST_SETS else lambda x: x
     key, other, kept, place = (fresh(docs.columns, n) for n in ("_mark", "_id", "_kept", "_place"))
