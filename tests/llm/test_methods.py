@@ -529,3 +529,13 @@ def test_decoding_is_the_library_s():
         assert [i for a in range(0, 3000, 300) for i in own.encode(many[a : a + 300])] == [e.ids for e in library.encode_batch(many, add_special_tokens=False)]
     finally:
         bpe.MEMORY_PIECES = small
+
+
+@pytest.mark.parametrize("most", [0, 400_000])
+def test_near_duplicate_stage_beyond_its_broadcasts(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_SETS", most)
+    same = " ".join(f"w{i}" for i in range(40))
+    texts = [(1, same), (2, same), (2, same), (3, same + " x"), (4, "a b c d e f g"), (4, "a b c d e f g"), (4, "another text with the same id"), (5, ""), (5, ""), (6, None), (None, same), (None, "no id but words"), (None, "no id but words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS)
+    got = corpus_pipeline.near_duplicates(spark, docs, None).collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=repr) == sorted([(1, same), (4, "a b c d e f g"), (4, "another text with the same id"), (5, ""), (6, None), (None, "no id but words")], key=repr)
