@@ -44,7 +44,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again: it cuts lineage and outlives executors."""
+    """The same rows, written as Parquet to the shared folder and read again: it cuts lineage and outlives executors. As a result
+    may be read at any time, nothing is deleted here; the folder is the session's owner's to clear."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
