@@ -257,7 +257,7 @@ lines AS (
 made AS (SELECT conv_id, count(*) AS cues, {head.format(2)} || string_agg({cue} || {both} || '</p>', '' ORDER BY pos, part_no) || '</body></timedtext>' AS body FROM lines GROUP BY conv_id),
 given AS (SELECT conv_id, {head.format(1)} || string_agg({cue} || raw || '</p>', '' ORDER BY turn) || '</body></timedtext>' AS body FROM texts GROUP BY conv_id),
 out AS (SELECT CAST(conv_id AS VARCHAR) AS track_id, 'https://www.youtube.com/api/timedtext?v=' || conv_id || CASE WHEN conv_id % 2 = 0 THEN '&kind=asr' ELSE '' END AS url, replace(replace(m.body, chr(9), ''), chr(10), '') AS body, CASE WHEN conv_id % 2 = 0 THEN 'automatic' ELSE 'official' END AS caption_mode, CAST(length(g.body) AS BIGINT) AS original_len, m.cues FROM made m JOIN given g USING (conv_id))
-SELECT track_id, url, body, caption_mode, original_len, CAST(length(body) AS BIGINT) AS modified_len, cues, 'X-Captions-ASR-Mode=' || CASE WHEN caption_mode = 'automatic' THEN 'fixed-two-lines-split-long-cues' ELSE 'unchanged' END || ';X-Captions-Broadcast-Mode=unchanged;X-Captions-Caption-Mode=' || caption_mode || ';X-Captions-Settings=standalone-no-boxjs;X-Captions-Version=23;X-Captions-XML-Modified-Length=' || length(body) || ';X-Captions-XML-Original-Length=' || original_len AS headers FROM out"""
+SELECT track_id, url, body, caption_mode, original_len, CAST(length(body) AS BIGINT) AS modified_len, cues, 'X-Captions-ASR-Mode=' || CASE WHEN caption_mode = 'automatic' THEN 'fixed-two-lines-split-long-cues' ELSE 'unchanged' END || ';X-Captions-Broadcast-Mode=unchanged;X-Captions-Caption-Mode=' || caption_mode || ';X-Captions-Settings=standalone;X-Captions-Version=23;X-Captions-XML-Modified-Length=' || length(body) || ';X-Captions-XML-Original-Length=' || original_len AS headers FROM out"""
 
 
 def oracle_sql(slices: str, escape) -> dict[str, str]:

@@ -19,7 +19,7 @@ from ..sources.translators import Translator, stand_in, translated_texts
 from .settings import Settings
 
 #: What the response says about itself.
-VERSION, ORIGIN, UNCHANGED = "23", "standalone-no-boxjs", "unchanged"
+VERSION, ORIGIN, UNCHANGED = "23", "standalone", "unchanged"
 AUTOMATIC_MODE, BROADCAST_MODE = "fixed-two-lines-split-long-cues", "fixed-two-lines-no-roll-up"
 
 

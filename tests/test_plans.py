@@ -101,7 +101,7 @@ def test_failing_translator_leaves_the_document(spark):
 
 def test_headers(spark):
     r = one(spark, ASR, '<p t="0" d="1">x</p>')
-    assert r.headers == {"X-Captions-Version": "23", "X-Captions-Settings": "standalone-no-boxjs", "X-Captions-ASR-Mode": "fixed-two-lines-split-long-cues", "X-Captions-Broadcast-Mode": "unchanged", "X-Captions-Caption-Mode": "automatic", "X-Captions-XML-Original-Length": str(r.original_len), "X-Captions-XML-Modified-Length": str(len(r.body))}
+    assert r.headers == {"X-Captions-Version": "23", "X-Captions-Settings": "standalone", "X-Captions-ASR-Mode": "fixed-two-lines-split-long-cues", "X-Captions-Broadcast-Mode": "unchanged", "X-Captions-Caption-Mode": "automatic", "X-Captions-XML-Original-Length": str(r.original_len), "X-Captions-XML-Modified-Length": str(len(r.body))}
 
 
 def test_rewrite_is_one_pass(spark):
