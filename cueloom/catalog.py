@@ -27,7 +27,7 @@ def cues_events(spark: SparkSession, d: str, shuffled: bool = False) -> DataFram
     """Events of a user as cues, in order of time or not."""
     e = _read(spark, d, "events")
     pos = (F.col("event_id") * 7919) % 100003 if shuffled else F.col("event_id")
-    return e.select(F.col("user_id").alias("track_id"), pos.alias("pos"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"), F.floor(F.col("value") * 1000).cast("long").alias("dur_ms"))
+    return e.select(F.col("user_id").alias("track_id"), pos.alias("pos"), F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 1000").alias("start_ms"), F.floor(F.col("value") * 1000).cast("long").alias("dur_ms"))
 
 
 CONV = "cues AS (SELECT conv_id AS track_id, turn AS pos, CAST(turn * 2000 AS BIGINT) AS start_ms, CAST(length(text) * 20 AS BIGINT) AS dur_ms, text FROM conversations)"
@@ -149,7 +149,7 @@ def queries() -> dict:
         "split_counters": lambda s, d: segmentation.split_counters(_split(s, d)),
         "cue_time_slices": cue_time_slices,
         "next_greater_start_sorted": lambda s, d: cues_conv(s, d).select("track_id", "pos", ordered.next_start_sorted().alias("next_ms")),
-        "next_greater_start_unsorted": lambda s, d: ordered.next_start(cues_events(s, d, True)).select("track_id", "pos", "next_ms"),
+        "next_greater_start_unsorted": lambda s, d: ordered.next_start_by_position(cues_events(s, d, True)),
         "trim_overlaps": trim_overlaps,
         "fixed_batches": lambda s, d: ordered.fixed_batches(docs(s, d).select("doc_id", "lang"), 120, "lang", "doc_id").select("doc_id", "batch_no"),
         "size_bounded_batches": size_bounded_batches,

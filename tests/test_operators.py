@@ -44,6 +44,19 @@ def test_next_start_in_document_order(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_next_start_of_shared_positions(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(12)]), r.choice([None, *range(20)]), 5, "x") for _ in range(90)]
+    want = {}
+    for t, i in {x[:2] for x in rows}:
+        here = min((x[2] for x in rows if x[:2] == (t, i) and x[2] is not None), default=99)
+        later = [(x[1], -x[2]) for x in rows if None not in x[:3] and i is not None and x[0] == t and x[1] > i and x[2] > here]
+        want[t, i] = -min(later)[1] if later else None
+    got = ordered.next_start_by_position(spark.createDataFrame(rows, CUES)).collect()
+    assert {(x.track_id, x.pos): x.next_ms for x in got} == want and len(got) == len(want)
+
+
 def test_split_cues_golden(spark):
     rows = [("a", 0, 1000, 9000, "This is a very long automatic caption, and it should be divided at a natural boundary before it overlaps."), ("a", 1, 8500, 2000, "Next caption."), ("b", 0, None, None, "x" * 100), ("c", 0, 0, 2, "word " * 20)]
     parts = segmentation.split_cues(spark.createDataFrame(rows, CUES))
