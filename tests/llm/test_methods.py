@@ -347,6 +347,68 @@ def test_licences_against_a_plain_version(spark):
     assert got == {(i, k): n for i, t in enumerate(texts) for k, n in plain(t).items()}
 
 
+def test_licences_without_key_words(spark, tmp_path):
+    templates = licenses.templates_of(license_texts.TEXTS)
+    long = [(name, words) for name, words, _ in templates if len(words) > 45]
+    texts = ["Before it. " + " ".join("other" if w in licenses.key_words(words) else w for w in words) + " and after" for _, words in long]
+    names = [name for name, _ in long]
+    mit = dict(long)["MIT"]
+    texts += ["used under CC BY 4.0 CC0", "x under CC BY-SA 4.0; x under CC BY-SA 4.0", " ".join(mit[9:]), " ".join([*mit[5:20], "and", *mit[20:]])]
+    names += ["CC-BY-4.0", "CC-BY-SA-4.0", "MIT", "MIT"]
+    spark.createDataFrame([*enumerate(texts), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.license): r.n_units for r in licenses.op7_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {(i, n): 1 + ("SA" in n) for i, n in enumerate(names)}
+
+
+def test_licences_everywhere_against_a_plain_version(spark):
+    r = random.Random(11)
+    templates = licenses.templates_of(license_texts.TEXTS)
+    texts = []
+    for _ in range(80):
+        words = []
+        for _ in range(r.randint(1, 5)):
+            piece = list(r.choice(templates)[1])
+            for _ in range(r.randrange(1 + len(piece) // 5)):
+                at = r.randrange(len(piece))
+                piece[at : at + r.randrange(2)] = r.choice([[], ["x"], ["license", "y"]])
+            for key in r.sample(licenses.key_words(piece), r.randrange(len(licenses.key_words(piece)) + 1)):
+                piece = [w if w != key else "z" for w in piece]
+            words += piece[r.choice([0, 0, len(piece) // 8]) :] + [f"v{r.randrange(99)}" for _ in range(r.choice([0, 3, 40, 150]))]
+        texts.append(" ".join(words))
+
+    def plain(text):
+        words, keyed, others = licenses.words_of(text), set(), set()
+        for name, own, grams in templates:
+            for start in range(len(words)):
+                part = words[start : start + len(own)]
+                mine = {f"{a} {b}" for a, b in zip(part, part[1:])}
+                if mine and (score := 2 * len(mine & set(grams)) / (len(mine) + len(grams))) >= 0.8:
+                    at_key = any(w in licenses.key_words(own) and words[start + i : start + i + 1] == [w] for i, w in enumerate(own))
+                    (keyed if at_key else others).add((-score, -len(grams), name, start, start + len(part)))
+        over = lambda a, b: a[3] < b[4] and b[3] < a[4]
+        runs, taken = [], []
+        for x in sorted(keyed, key=lambda x: x[3:]):
+            if runs and x[3] < max(y[4] for y in runs[-1]):
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        free = lambda x: not any(over(x, y) for y in keyed)
+        for x in sorted(others):
+            if (free(x) or any(x[3] <= y[3] and y[4] <= x[4] for y in keyed)) and not any(over(x, y) for y in taken):
+                taken.append(x)
+        out, taken = {}, list(filter(free, taken))
+        for x in [*map(min, runs), *taken]:
+            n, best = out.get(x[2], (0, 0))
+            out[x[2]] = (n + 1, max(best, round(-x[0], 6)))
+        return out, len(taken)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [plain(t) for t in texts]
+    got = {(x.doc_id, x.license): (x.n_units, x.best_score) for x in licenses.scan(rows, everywhere=True).collect()}
+    assert got == {(i, k): v for i, (places, _) in enumerate(want) for k, v in places.items()}
+    assert sum(n for _, n in want) > 20
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 
 FORMS = {
