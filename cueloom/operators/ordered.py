@@ -58,27 +58,20 @@ def next_start(df: DataFrame, track: str = "track_id", pos: str = "pos", start:
 
 
 def next_starts_by_position() -> Callable[[int | None, int | None], int | None]:
-    """For a track's positions and starts read backwards, a position's starts in order: the answer of its position, given to
-    each of its rows. A stack of increasing latest starts of positions has it on top."""
+    """For a track's positions read backwards, each with its earliest and its latest start: the latest start of the first later
+    position that has one after the earliest here. A stack of increasing latest starts has it on top."""
     stack: list[int] = []
-    at: list[int | None] = [None, None]  # position, its latest start so far
-    found: list[int | None] = [None]
 
-    def step(pos: int | None, now: int | None) -> int | None:
-        if pos is None:
+    def step(earliest: int | None, latest: int | None) -> int | None:
+        if earliest is None:
             return None
-        if pos != at[0]:
-            if at[1] is not None:
-                while stack and stack[-1] <= at[1]:
-                    stack.pop()
-                stack.append(at[1])
-            while now is not None and stack and stack[-1] <= now:
-                stack.pop()
-            found[0] = stack[-1] if stack and now is not None else None
-            at[:] = [pos, None]
-        if now is not None:
-            at[1] = now
-        return found[0]
+        while stack and stack[-1] <= earliest:
+            stack.pop()
+        found = stack[-1] if stack else None
+        while stack and stack[-1] <= latest:
+            stack.pop()
+        stack.append(latest)
+        return found
 
     return step
 
@@ -86,8 +79,9 @@ def next_starts_by_position() -> Callable[[int | None, int | None], int | None]:
 def next_start_by_position(df: DataFrame, track: str = "track_id", pos: str = "pos", start: str = "start_ms", output: str = "next_ms") -> DataFrame:
     """(track, pos, next start), one row for a track's position, however many cues share it: from the first later position
     with a cue that starts after the earliest here, the latest start. Without a track, position or start there is none."""
-    found = stream_by_track(df.select(track, pos, start), track, [F.col(pos).desc(), F.col(start).asc_nulls_last()], [pos, start], output, next_starts_by_position)
-    return found.select(track, pos, F.when(F.col(track).isNotNull(), F.col(output)).alias(output)).distinct()
+    positions = df.groupBy(track, pos).agg(F.min(start).alias("_earliest"), F.max(start).alias("_latest"))
+    found = stream_by_track(positions, track, [F.col(pos).desc()], ["_earliest", "_latest"], output, next_starts_by_position)
+    return found.select(track, pos, F.when(F.col(track).isNotNull() & F.col(pos).isNotNull(), F.col(output)).alias(output))
 
 
 def next_start_sorted(track: str = "track_id", start: str = "start_ms") -> Column:
